@@ -4,7 +4,7 @@ search itself, which runs on the driver over a bounded array.
 Documents with equal texts are never parted: atomic groups are the texts with the same UNIT_BITS leading
 bits of the text's hash, in the order of those bits. Their byte sizes (at most 2**UNIT_BITS numbers, at any
 input size) decide the cuts: binary search finds the smallest capacity at which a greedy pass over the
-ordered groups fills no more than the wanted number of shards, and the shards are cut by that pass.
+ordered groups fills no more than the wanted number of shards, and the shards are cut within that capacity.
 
 Slots number each shard's rows without gaps. A group is dealt into as many parts as its rows need by a hash
 of the id, so that no task numbers a hot group alone; parts' offsets come from their counts.
@@ -45,7 +45,11 @@ def greedy_cuts(prefix: np.ndarray, capacity: int, shards: int) -> list[int] | N
 
 
 def minimax_cuts(sizes: np.ndarray, shards: int) -> list[int]:
-    """Ends (exclusive) of at most so many contiguous runs whose largest sum is the least possible."""
+    """Ends (exclusive) of at most so many contiguous runs whose largest sum is the least possible.
+
+    Many cuts reach that least capacity. A plain greedy pass fills the first shards to the brim and leaves
+    the last one short, so each shard ends next to its even share of what is left, unless the rest would
+    then no longer fit."""
     if not len(sizes):
         return []
     prefix = np.cumsum(sizes.astype(np.int64))
@@ -56,7 +60,21 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> list[int]:
             low = middle + 1
         else:
             high = middle
-    return greedy_cuts(prefix, low, shards)
+    ends, done, n = [], 0, len(prefix)
+    while done < n:
+        base, left = (int(prefix[done - 1]) if done else 0), shards - len(ends)
+        last = int(np.searchsorted(prefix, base + low, side="right"))
+        even = int(np.searchsorted(prefix, base + (int(prefix[-1]) - base) / left, side="right"))
+        options = sorted({min(max(e, done + 1), last) for e in (even, even + 1)}, key=lambda e: abs(int(prefix[e - 1]) - base - (int(prefix[-1]) - base) / left))
+        ends.append(next((e for e in options if _fits(prefix, e, low, left - 1)), last))
+        done = ends[-1]
+    return ends
+
+
+def _fits(prefix: np.ndarray, done: int, capacity: int, shards: int) -> bool:
+    if done == len(prefix):
+        return True
+    return shards > 0 and greedy_cuts(prefix[done:] - prefix[done - 1], capacity, shards) is not None
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
