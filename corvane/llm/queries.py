@@ -36,6 +36,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests
+
+    return digests(documents(spark, sf_dir))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import shard_documents
 
@@ -43,6 +49,12 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op4_pii, op5_mixing, op7_shards)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op4_pii, op5_mixing, op6_bpe, op7_shards, op9_simhash)}
 
 ORACLES: dict[str, str] = {}
