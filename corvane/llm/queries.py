@@ -14,6 +14,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_png(encode_png(documents(spark, sf_dir))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "status")
 
 
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import compare_with_edits
+
+    return compare_with_edits(documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import BASE_KINDS, find_pii
 
@@ -55,6 +61,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op4_pii, op5_mixing, op6_bpe, op7_shards, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_media, op3_merkle, op4_pii, op5_mixing, op6_bpe, op7_shards, op9_simhash)}
 
 ORACLES: dict[str, str] = {}
