@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, labels
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_png(encode_png(documents(spark, sf_dir))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "status")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import compare_with_edits
 
@@ -61,6 +67,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_merkle, op4_pii, op5_mixing, op6_bpe, op7_shards, op9_simhash)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_toxicity, op3_merkle, op4_pii, op5_mixing, op6_bpe, op7_shards, op9_simhash, op10_language)}
 
 ORACLES: dict[str, str] = {}
