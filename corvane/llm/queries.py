@@ -61,6 +61,15 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    found = scan_licenses(documents(spark, sf_dir))
+    mark = lambda m: F.concat_ws(":", m["license"], m["start"], m["end"])
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0))
+    return found.select("doc_id", F.size("matches").cast("bigint").alias("n_matches"), best.alias("best_coverage"), F.array_join(F.transform("matches", mark), ",").alias("spans"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -73,6 +82,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_toxicity, op3_merkle, op4_pii, op5_mixing, op6_bpe, op7_shards, op9_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_toxicity, op3_merkle, op4_pii, op5_mixing, op6_bpe, op7_shards, op8_licenses, op9_simhash, op10_language)}
 
 ORACLES: dict[str, str] = {}
