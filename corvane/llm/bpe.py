@@ -73,7 +73,7 @@ class WordTable:
 
     def _plain(self, text: str) -> bytes:
         words = self.split(text)
-        missing = set(words) - self.ids.keys()
+        missing = set(words).difference(self.ids)
         if missing:
             if len(self.ids) + len(missing) > self.max_words:
                 self.ids.clear()
