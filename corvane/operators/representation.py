@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dimension, mean_vectors, normalized
+from ..runtime import reliable_checkpoint
 from .clustering import ITERATIONS, assign, grouped_lloyd, lloyd
 from .sharding import size_summary
 
@@ -24,6 +25,8 @@ def shard_groups(centroids: DataFrame, num_groups: int = 4, seed: int = 42, iter
     """(shard_id, group_id): k-means over the shards' single centroids."""
     if num_groups <= 0:
         raise ValueError("the number of groups must be positive")
+    # A row for each shard: written once, so that the steps do not go back to the documents.
+    centroids = reliable_checkpoint(centroids.select("shard_id", "centroid"))
     found = centroids.count()
     if num_groups > found:
         raise ValueError(f"{num_groups} groups of {found} shards")
