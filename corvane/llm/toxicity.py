@@ -84,7 +84,7 @@ class Chain:
     def features(self, text: str) -> tuple[dict[int, int], list[float]]:
         words = _WORDS.findall(text.lower())
         distinct = set(words)
-        new = distinct - self.seen.keys()
+        new = distinct.difference(self.seen)
         if new:
             if len(self.seen) + len(new) > MAX_WORDS:
                 self.seen.clear()
