@@ -209,7 +209,8 @@ def multi_centroids(spark, sf_dir):
 def l2_normalize(spark, sf_dir):
     docs = fx.doc_embeddings(spark, sf_dir)
     scaled = docs.select("doc_id", F.transform("embedding", lambda x: x * F.col("pos")).alias("v"))
-    return _places(normalized(scaled, "v"), "v", "doc_id")
+    # Adding 0 turns a negative zero into zero.
+    return _places(normalized(scaled, "v"), "v", "doc_id").withColumn("value", F.col("value") + 0.0)
 
 
 @query
