@@ -13,6 +13,15 @@ the last lists cannot exceed 512 distinct fingerprints. Pairs within a list are
 below five are dropped, the rest are verified by their differing bits, and only a spanning forest of the
 list's links is handed on, so that a dense group costs rows in proportion to its members.
 
+keep_one also links texts of similar wording: SIMILARITY of their sets of 5-word shingles, estimated by a
+longer SimHash. A sketch has 512 bits, spread from the same XXH64 values by integer mixing; two sets of Jaccard
+similarity s differ in each bit with probability acos(2s / (1 + s)) / pi, so 0.8 stands for 78 of 512
+differing bits, give or take 8. Up to SKETCH_BITS of them count as similar (0.8 less about one and a half
+standard errors). No byte is certain to agree at that distance, so the index is posted by KEYS fixed triples of byte
+positions: texts at 0.8 share one with probability of some 0.85, at 0.85 of some 0.98, above that practically always. All texts
+of a list are compared with one pivot, chosen anew for each triple, so a list costs rows in proportion to
+its members whatever its length.
+
 Components come from alternating large-star and small-star steps over the links of distinct fingerprints.
 
 Edge cases: null, empty and blank texts have fingerprint zero and link like any other; one or two words are
@@ -45,6 +54,13 @@ BLOCK = 1 << 15
 LIST = 64
 MAX_ROUNDS = 60
 
+#: The stage's wording: shingle length, similarity, longs of a sketch, bits that may differ, byte triples.
+WORDS = 5
+SIMILARITY = 0.8
+SKETCH = 8
+SKETCH_BITS = 90
+KEYS = 128
+
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Unsigned 64-bit SimHash of UTF-8 bytes."""
@@ -229,11 +245,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(reliable_checkpoint(named), F.col("fp") == F.col("fp_")).drop("fp_")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest id (null last), then
-    the smallest text hash; of rows that agree in both, one."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    first = found.groupBy("root_fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("k"))
+def sketch(text: bytes, shingle: int = WORDS) -> np.ndarray:
+    """The longer SimHash over distinct shingles: SKETCH longs."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(SKETCH, np.int64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    parts = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else iter([words])
+    hashes = np.fromiter({digest(join(p), SEED) for p in parts}, np.uint64)
+    counts = np.zeros((SKETCH * 8, 256), np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        z = hashes[at : at + BLOCK, None] + _STEPS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        raw = (z ^ (z >> np.uint64(31))).view(np.uint8).reshape(len(z), SKETCH * 8)
+        counts += np.bincount((raw + _OFFSETS).ravel(), minlength=SKETCH * 8 * 256).reshape(SKETCH * 8, 256)
+    bits = (counts @ _BITS) * 2 > len(hashes)
+    return np.packbits(bits, axis=1).ravel().view(np.int64)
+
+
+#: Constants of the splitmix64 generator, and tables from a byte to its bits.
+_STEPS = (np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+_OFFSETS = (np.arange(SKETCH * 8, dtype=np.int32) * 256)[None, :]
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+_TRIPLES = np.array([np.random.default_rng(k).choice(SKETCH * 8, 3, replace=False) for k in range(KEYS)])
+
+
+def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, fp, sketch) for each row."""
+
+    def make():
+        def one(row):
+            fp = fingerprint(row[2])
+            return row[0], row[1], fp - (1 << 64) if fp >> 63 else fp, sketch(row[2]).tolist()
+
+        return one
+
+    data = text_bytes(text_col)
+    narrow = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.xxhash64(data).alias("text_hash"), data.alias("text"))
+    return map_rows(narrow, make, f"{id_col} bigint, text_hash bigint, fp bigint, sketch array<bigint>")
+
+
+def _sketch_keys(nodes: DataFrame) -> DataFrame:
+    """(node, k, key): each sketch's KEYS byte triples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            raw = batch.column(1).flatten().to_numpy().astype(np.int64).view(np.uint8).reshape(n, SKETCH * 8).astype(np.int64)
+            for at in range(0, n, 1024):
+                part = raw[at : at + 1024][:, _TRIPLES]
+                keys = (part[:, :, 0] << 16) | (part[:, :, 1] << 8) | part[:, :, 2]
+                ids = batch.column(0).slice(at, len(part)).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, KEYS)), pa.array(np.tile(np.arange(KEYS, dtype=np.int32), len(part))), pa.array(keys.ravel().astype(np.int32))], names=["node", "k", "key"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "node bigint, k int, key int")
+
+
+def similar_links(nodes: DataFrame, max_bits: int = SKETCH_BITS) -> DataFrame:
+    """(a, b): links between nodes whose sketches differ in at most max_bits bits. nodes: (node, sketch)."""
+    # A pivot is the least node after its bits are flipped by a mask of the triple's own.
+    flipped = F.col("node").bitwiseXOR(F.xxhash64("k"))
+    posted = _sketch_keys(nodes)
+    pivots = posted.groupBy("k", "key").agg(F.min(flipped).alias("m"), F.count("*").alias("n")).where("n > 1")
+    pivots = reliable_checkpoint(pivots.select(F.col("k").alias("k_"), F.col("key").alias("key_"), F.col("m").bitwiseXOR(F.xxhash64("k")).alias("pivot")))
+    pairs = posted.join(pivots, (F.col("k") == F.col("k_")) & (F.col("key") == F.col("key_"))).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    pairs = reliable_checkpoint(pairs)
+    side = lambda name, bits: nodes.select(F.col("node").alias(name + "_"), F.col("sketch").alias(bits))
+    both = pairs.join(side("a", "x"), F.col("a") == F.col("a_")).join(side("b", "y"), F.col("b") == F.col("b_"))
+    apart = sum((F.bit_count(F.get("x", i).bitwiseXOR(F.get("y", i))) for i in range(SKETCH)), F.lit(0))
+    return both.where(apart <= max_bits).select("a", "b")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, with all its columns: the one with the smallest id (null last), then the
+    smallest text hash; of rows that agree in both, one. Texts are in a group when links join them: fingerprints
+    of at most MAX_BITS differing bits, or sketches of at most SKETCH_BITS."""
+    rows = reliable_checkpoint(_sketched(docs, id_col, text_col))
+    nodes = reliable_checkpoint(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    # One text stands for each fingerprint; the other texts with that fingerprint link to it.
+    stands = reliable_checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("stand"), F.count("*").alias("n")))
+    same = nodes.join(stands.where("n > 1").withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).where("node <> stand").select(F.col("node").alias("a"), F.col("stand").alias("b"))
+    named = lambda side: stands.select(F.col("fp").alias(side + "_"), F.col("stand").alias(side + "s"))
+    near = links(stands.select("fp")).join(named("a"), F.col("a") == F.col("a_")).join(named("b"), F.col("b") == F.col("b_")).select(F.col("as").alias("a"), F.col("bs").alias("b"))
+    roots = components(same.union(near).union(similar_links(nodes.select("node", "sketch"))))
+    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))
+    first = rows.groupBy("text_hash").agg(F.min(order).alias("k"))
+    first = first.join(roots, F.col("text_hash") == F.col("node"), "left").groupBy(F.coalesce("root", "text_hash").alias("r")).agg(F.min("k").alias("k"))
     first = reliable_checkpoint(first.select(F.col("k.i").alias("__i"), F.col("k.h").alias("__h")))
     own = docs.withColumn("__th", F.xxhash64(text_bytes(text_col)))
     kept = own.join(first, F.col(id_col).cast("bigint").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__h")), "left_semi")
