@@ -13,7 +13,6 @@ operators' own rules.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corvane.llm import bpe, mixing, pii, simhash, toxicity
 from corvane.llm.common import documents, labels
@@ -39,8 +38,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): ids as little-endian unsigned 32-bit integers in
     one binary value, and the digests of them and of the text that they decode to."""
-    decoded = bpe.decode_documents(bpe.encode_documents(docs))
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.col("ids"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.digests(docs)
 
 
 STAGES = [

@@ -51,7 +51,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
-    return digests(documents(spark, sf_dir))
+    return digests(documents(spark, sf_dir)).drop("ids")
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,7 @@ list's links is handed on, so that a dense group costs rows in proportion to its
 keep_one also links texts of similar wording: SIMILARITY of their sets of 5-word shingles, estimated by a
 longer SimHash. A sketch has 512 bits, spread from the same XXH64 values by integer mixing; two sets of Jaccard
 similarity s differ in each bit with probability acos(2s / (1 + s)) / pi, so 0.8 stands for 78 of 512
-differing bits, give or take 8. Up to SKETCH_BITS of them count as similar (0.8 less about one and a half
-standard errors). No byte is certain to agree at that distance, so the index is posted by KEYS fixed triples of byte
+differing bits, give or take 8; texts count as similar up to one and a half standard errors more. No byte is certain to agree at that distance, so the index is posted by KEYS fixed triples of byte
 positions: texts at 0.8 share one with probability of some 0.85, at 0.85 of some 0.98, above that practically always. All texts
 of a list are compared with one pivot, chosen anew for each triple, so a list costs rows in proportion to
 its members whatever its length.
@@ -32,6 +31,7 @@ blocks of shingles; other columns are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, islice
 
@@ -54,12 +54,17 @@ BLOCK = 1 << 15
 LIST = 64
 MAX_ROUNDS = 60
 
-#: The stage's wording: shingle length, similarity, longs of a sketch, bits that may differ, byte triples.
+#: keep_one's wording: shingle length, similarity, longs of a sketch, byte triples.
 WORDS = 5
 SIMILARITY = 0.8
 SKETCH = 8
-SKETCH_BITS = 90
-KEYS = 128
+KEYS = 160
+
+
+def bits_apart(similarity: float, slack: float = 1.5) -> int:
+    """Differing bits of two sketches whose sets have that Jaccard similarity, and so many standard errors."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(64 * SKETCH * p + slack * math.sqrt(64 * SKETCH * p * (1 - p)))
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -287,7 +292,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sketch_keys(nodes: DataFrame) -> DataFrame:
-    """(node, k, key): each sketch's KEYS byte triples."""
+    """(node, key): each sketch's KEYS byte triples, the triple's number above its 24 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,21 +300,21 @@ def _sketch_keys(nodes: DataFrame) -> DataFrame:
             raw = batch.column(1).flatten().to_numpy().astype(np.int64).view(np.uint8).reshape(n, SKETCH * 8).astype(np.int64)
             for at in range(0, n, 1024):
                 part = raw[at : at + 1024][:, _TRIPLES]
-                keys = (part[:, :, 0] << 16) | (part[:, :, 1] << 8) | part[:, :, 2]
+                keys = (np.arange(KEYS) << 24) | (part[:, :, 0] << 16) | (part[:, :, 1] << 8) | part[:, :, 2]
                 ids = batch.column(0).slice(at, len(part)).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, KEYS)), pa.array(np.tile(np.arange(KEYS, dtype=np.int32), len(part))), pa.array(keys.ravel().astype(np.int32))], names=["node", "k", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, KEYS)), pa.array(keys.ravel())], names=["node", "key"])
 
-    return nodes.select("node", "sketch").mapInArrow(run, "node bigint, k int, key int")
+    return nodes.select("node", "sketch").mapInArrow(run, "node bigint, key bigint")
 
 
-def similar_links(nodes: DataFrame, max_bits: int = SKETCH_BITS) -> DataFrame:
+def similar_links(nodes: DataFrame, max_bits: int) -> DataFrame:
     """(a, b): links between nodes whose sketches differ in at most max_bits bits. nodes: (node, sketch)."""
     # A pivot is the least node after its bits are flipped by a mask of the triple's own.
-    flipped = F.col("node").bitwiseXOR(F.xxhash64("k"))
+    mask = F.xxhash64(F.shiftright("key", 24))
     posted = _sketch_keys(nodes)
-    pivots = posted.groupBy("k", "key").agg(F.min(flipped).alias("m"), F.count("*").alias("n")).where("n > 1")
-    pivots = reliable_checkpoint(pivots.select(F.col("k").alias("k_"), F.col("key").alias("key_"), F.col("m").bitwiseXOR(F.xxhash64("k")).alias("pivot")))
-    pairs = posted.join(pivots, (F.col("k") == F.col("k_")) & (F.col("key") == F.col("key_"))).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    pivots = posted.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("m"), F.count("*").alias("n")).where("n > 1")
+    pivots = reliable_checkpoint(pivots.select(F.col("key").alias("key_"), F.col("m").bitwiseXOR(mask).alias("pivot")))
+    pairs = posted.join(pivots, F.col("key") == F.col("key_")).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     pairs = reliable_checkpoint(pairs)
     side = lambda name, bits: nodes.select(F.col("node").alias(name + "_"), F.col("sketch").alias(bits))
     both = pairs.join(side("a", "x"), F.col("a") == F.col("a_")).join(side("b", "y"), F.col("b") == F.col("b_"))
@@ -317,10 +322,10 @@ def similar_links(nodes: DataFrame, max_bits: int = SKETCH_BITS) -> DataFrame:
     return both.where(apart <= max_bits).select("a", "b")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id (null last), then the
     smallest text hash; of rows that agree in both, one. Texts are in a group when links join them: fingerprints
-    of at most MAX_BITS differing bits, or sketches of at most SKETCH_BITS."""
+    of at most MAX_BITS differing bits, or sketches of that similarity."""
     rows = reliable_checkpoint(_sketched(docs, id_col, text_col))
     nodes = reliable_checkpoint(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
     # One text stands for each fingerprint; the other texts with that fingerprint link to it.
@@ -328,7 +333,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = nodes.join(stands.where("n > 1").withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).where("node <> stand").select(F.col("node").alias("a"), F.col("stand").alias("b"))
     named = lambda side: stands.select(F.col("fp").alias(side + "_"), F.col("stand").alias(side + "s"))
     near = links(stands.select("fp")).join(named("a"), F.col("a") == F.col("a_")).join(named("b"), F.col("b") == F.col("b_")).select(F.col("as").alias("a"), F.col("bs").alias("b"))
-    roots = components(same.union(near).union(similar_links(nodes.select("node", "sketch"))))
+    roots = components(same.union(near).union(similar_links(nodes.select("node", "sketch"), bits_apart(similarity))))
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))
     first = rows.groupBy("text_hash").agg(F.min(order).alias("k"))
     first = first.join(roots, F.col("text_hash") == F.col("node"), "left").groupBy(F.coalesce("root", "text_hash").alias("r")).agg(F.min("k").alias("k"))
