@@ -63,11 +63,14 @@ def align(template: list[int], words: list[int], offset: int, band: int = BAND)
     """The most template words matched in order in a band: (matched, first, last) with word places of the text.
 
     Cell (i, d) pairs template word i with text word i + offset + d - band. A match gives 2, a mismatch
-    or a skipped word costs 1, skipped text before and after costs nothing."""
+    or a skipped word costs 1, skipped text before and after costs nothing. Of equally good ends the one nearest
+    to the diagonal counts; the band is at most half as wide as the template is long, so that copies of a short
+    line side by side each find their own."""
+    band = min(band, max(1, len(template) // 2))
     n, width = len(words), 2 * band + 1
     nothing = (0, 0, -1, -1)  # score, matched, first, last
     above = [nothing] * (width + 1)
-    best = nothing
+    best, best_rank = nothing, (0, 0, -width)
     for i, t in enumerate(template):
         row: list[tuple[int, int, int, int]] = []
         left = nothing
@@ -87,8 +90,8 @@ def align(template: list[int], words: list[int], offset: int, band: int = BAND)
                 cell = nothing
             row.append(cell)
             left = cell
-            if cell[:2] > best[:2]:
-                best = cell
+            if (*cell[:2], -abs(d - band)) > best_rank and cell[1]:
+                best, best_rank = cell, (*cell[:2], -abs(d - band))
         above = [*row, nothing]
     return best[1], best[2], best[3]
 

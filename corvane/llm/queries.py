@@ -84,4 +84,43 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_media, op2_toxicity, op3_merkle, op4_pii, op5_mixing, op6_bpe, op7_shards, op8_licenses, op9_simhash, op10_language)}
 
-ORACLES: dict[str, str] = {}
+_TREE = """[[[sha256(x) for x in regexp_extract_all(p, '[^.!?]{1,64}[.!?]*\\s*|[.!?]+\\s*')] for p in regexp_extract_all(s, '[^\\n]*\\n|[^\\n]+')]
+    for s in string_split(replace(TEXT, chr(10) || chr(10), chr(10) || chr(10) || chr(1)), chr(1)) if s <> '']"""
+
+ORACLES: dict[str, str] = {
+    # Texts hold no character 1, which stands for the ends of sections here.
+    "op3_merkle": f"""
+        with d as (select doc_id, coalesce(text, '') t from documents),
+        n as (select *, coalesce(lead(t) over (order by doc_id desc nulls last, t), first(t) over (order by doc_id desc nulls last, t)) nxt from d),
+        e as (select *, substr(t, 1, length(t) - length(t) // 3) || substr(nxt, 1, length(t) // 3) ed from n),
+        leaf as (select *, {_TREE.replace('TEXT', 't')} lt, {_TREE.replace('TEXT', 'ed')} le, {_TREE.replace('TEXT', 'nxt')} ln from e),
+        node as (select *, [[sha256(array_to_string(p, '')) for p in s] for s in lt] nt, [[sha256(array_to_string(p, '')) for p in s] for s in le] ne,
+            list_distinct(flatten(flatten(lt))) a, list_distinct(flatten(flatten(le))) b, list_distinct(flatten(flatten(ln))) c from leaf)
+        select doc_id, cast(length(t) as bigint) n_chars, sha256(ed) edited_sha256,
+            sha256(array_to_string([sha256(array_to_string(s, '')) for s in nt], '')) fingerprint,
+            sha256(array_to_string([sha256(array_to_string(s, '')) for s in ne], '')) edited_fingerprint,
+            case when len(a) + len(b) = 0 then 1.0 else 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) end near_edited,
+            case when len(a) + len(c) = 0 then 1.0 else 2.0 * len(list_intersect(a, c)) / (len(a) + len(c)) end near_next,
+            cast(len(flatten(nt)) as int) n_paragraphs, cast(len(a) as int) n_leaves,
+            cast(nullif(coalesce(list_position([flatten(nt)[i] is not distinct from flatten(ne)[i] for i in generate_series(1, greatest(len(flatten(nt)), len(flatten(ne))))], false), 0), 0) - 1 as int) edited_paragraph
+        from node""",
+    "op5_mixing": """
+        with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) size,
+                (cast('0x' || substr(md5('42:' || doc_id), 1, 12) as bigint) + 0.5) / 281474976710656.0 u from documents),
+        s0 as (select source, cast(sum(size) as bigint) source_size, cast([5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as double) w from d group by source),
+        s1 as (select *, cast(source_size * 3 as double) cap from s0),
+        s2 as (select *, (sum(cast(source_size as double)) over () - coalesce(sum(cap) over o, 0)) / (sum(w) over () - coalesce(sum(w) over o, 0)) lev
+            from s1 window o as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding)),
+        s3 as (select source, source_size, round(least(cap, w * max(lev) over ()), 6) target from s2),
+        s4 as (select *, case when source_size > 0 then cast(least(floor(target / source_size), 3) as bigint) else 0 end base from s3),
+        s5 as (select *, case when base < 3 then greatest(target - base * source_size, 0) else 0 end remaining from s4),
+        s6 as (select *, case when source_size > 0 then remaining / source_size else 0 end p from s5),
+        r as (select d.*, s6.* exclude (source), case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end q from d join s6 on d.source is not distinct from s6.source),
+        c as (select *, case when q is not null then sum(size) over (partition by source, q is null order by q, doc_id range between unbounded preceding and current row) end run from r),
+        f as (select *, coalesce(run <= remaining, false) inside from c),
+        m as (select source, max(remaining) - coalesce(max(run) filter (where inside), 0) missing, bool_or(q is not null and not inside) over_ from f group by source),
+        a as (select f.source, (list(struct_pack(q := f.q, id := f.doc_id) order by abs(f.size - m.missing), f.q, f.doc_id))[1] pick from f join m on f.source is not distinct from m.source
+            where m.over_ and f.q is not null and not f.inside and abs(f.size - m.missing) < m.missing group by f.source)
+        select f.doc_id, f.size, f.source_size, f.target, cast((f.base + case when f.inside or coalesce(f.q = a.pick.q and f.doc_id = a.pick.id, false) then 1 else 0 end) * f.size as bigint) taken
+        from f left join a on f.source is not distinct from a.source""",
+}
