@@ -6,6 +6,7 @@ hash order, steps are full passes, ties go to the lowest centre. mllib_assign of
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,19 @@ def lloyd(rows: DataFrame, k: int, seed: int = 42, iterations: int = ITERATIONS,
     return centres
 
 
+def lloyd_local(vectors: np.ndarray, k: int, iterations: int = ITERATIONS) -> np.ndarray:
+    """The cid of each row after the same steps over a matrix in seeded order, for tables as small as the
+    shards of a run."""
+    _check(k, len(vectors))
+    centres = {i: vectors[i] for i in range(k)}
+    for step in range(iterations + 1):
+        cids, table = np.array(sorted(centres)), np.array([centres[c] for c in sorted(centres)])
+        near = cids[((vectors[:, None, :] - table[None]) ** 2).sum(axis=2).argmin(axis=1)]
+        if step < iterations:
+            centres = {int(c): vectors[near == c].mean(axis=0) for c in np.unique(near)}
+    return near
+
+
 def assign(rows: DataFrame, centres: list[tuple[int, list[float]]], out: str = "cluster", column: str = "embedding") -> DataFrame:
     """All columns and the nearest centre's cid: a map over rows, without a join."""
     return rows.withColumn(out, nearest(F.col(column), centre_table(centres)).cast("bigint"))

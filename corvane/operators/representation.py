@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dimension, mean_vectors, normalized
 from ..runtime import reliable_checkpoint
-from .clustering import ITERATIONS, assign, grouped_lloyd, lloyd
+from .clustering import ITERATIONS, assign, grouped_lloyd, lloyd, lloyd_local, seeded_hash
 from .sharding import size_summary
 
+#: Up to so many shards, groups are found on the driver; beyond it by Spark steps with the same result.
+LOCAL_SHARDS = 4096
+
 
 def single_centroids(shards: DataFrame, column: str = "embedding") -> DataFrame:
     """(shard_id, centroid): the normalised mean of each shard's vectors."""
@@ -30,8 +34,12 @@ def shard_groups(centroids: DataFrame, num_groups: int = 4, seed: int = 42, iter
     found = centroids.count()
     if num_groups > found:
         raise ValueError(f"{num_groups} groups of {found} shards")
-    centres = lloyd(centroids, num_groups, seed, iterations, key="shard_id", column="centroid")
-    return assign(centroids, centres, "group_id", "centroid").select("shard_id", "group_id")
+    if found > LOCAL_SHARDS:
+        return assign(centroids, lloyd(centroids, num_groups, seed, iterations, key="shard_id", column="centroid"), "group_id", "centroid").select("shard_id", "group_id")
+    table = centroids.orderBy(seeded_hash(seed, "shard_id"), "shard_id").collect()
+    near = lloyd_local(np.array([r.centroid for r in table]), num_groups, iterations)
+    rows = [(r.shard_id, int(g)) for r, g in zip(table, near)]
+    return centroids.sparkSession.createDataFrame(rows, f"shard_id {centroids.schema['shard_id'].dataType.simpleString()}, group_id bigint")
 
 
 def group_centroids(centroids: DataFrame, groups: DataFrame) -> DataFrame:

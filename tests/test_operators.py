@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,13 +102,18 @@ def test_mllib_gives_every_row_its_nearest_centre(spark):
     assert found["0"] == found["1"] != found["2"] == found["3"]
 
 
-def test_groups(spark):
+def test_groups(spark, monkeypatch):
     cents = spark.createDataFrame([(i, [float(i > 1), float(i <= 1)]) for i in range(4)], "shard_id bigint, centroid array<double>")
     groups = representation.shard_groups(cents, 2)
     assert groups.count() == 4
     for bad in (0, 5):
         with pytest.raises(ValueError):
             representation.shard_groups(cents, bad)
+    draw = np.random.default_rng(4)
+    many = spark.createDataFrame([(i, draw.normal(size=5).tolist()) for i in range(60)], "shard_id bigint, centroid array<double>")
+    local = rows(representation.shard_groups(many, 6), "shard_id", "group_id")
+    monkeypatch.setattr(representation, "LOCAL_SHARDS", 0)
+    assert rows(representation.shard_groups(many, 6), "shard_id", "group_id") == local
     one = spark.createDataFrame([(i, 0) for i in range(4)], "shard_id bigint, group_id bigint")
     assert representation.group_centroids(cents, one).first().centroid == pytest.approx([math.sqrt(0.5)] * 2)
 
