@@ -311,7 +311,9 @@ def similar_links(nodes: DataFrame, max_bits: int) -> DataFrame:
     """(a, b): links between nodes whose sketches differ in at most max_bits bits. nodes: (node, sketch)."""
     # A pivot is the least node after its bits are flipped by a mask of the triple's own.
     mask = F.xxhash64(F.shiftright("key", 24))
-    posted = _sketch_keys(nodes)
+    # Sketches are few bytes but many postings each, so they are dealt out before they are posted.
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = _sketch_keys(nodes.repartition(spread, "node"))
     pivots = posted.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("m"), F.count("*").alias("n")).where("n > 1")
     pivots = reliable_checkpoint(pivots.select(F.col("key").alias("key_"), F.col("m").bitwiseXOR(mask).alias("pivot")))
     pairs = posted.join(pivots, F.col("key") == F.col("key_")).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()

@@ -5,8 +5,8 @@ probabilities of the earlier categories. In training these come from models that
 (out-of-fold predictions), so that a later model does not learn to trust an earlier one more than new
 texts allow. The categories are what the label table has: low_quality (quality = 0), then toxic.
 
-Features of a text: for each selected term the logarithm of one plus the number of its distinct words that
-have the term (a term is a word or a run of 4 to 6 letters of one, word ends marked), and the shares of
+Features of a text: for each selected term the logarithm of one plus the number of its words that have the
+term (a term is a word or a run of 4 to 6 letters of one, word ends marked), and the shares of
 capitals, digits and signs, its length and how often its words repeat. Terms are selected by the z-score of their
 document frequencies in positive against other training rows.
 
@@ -20,6 +20,7 @@ probability is its share in training (0 without labels); all columns and rows ar
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -70,6 +71,7 @@ class Chain:
     categories: tuple[str, ...]
     terms: dict[str, int]
     weights: list[np.ndarray] = field(default_factory=list)
+    threshold: float = THRESHOLD
 
     def __post_init__(self):
         self.seen: dict[str, tuple[int, ...]] = {}
@@ -93,9 +95,12 @@ class Chain:
             for word in new:
                 self.seen[word] = tuple(index[t] for t in terms_of(word) if t in index)
         counts: dict[int, int] = {}
-        for found in filter(None, map(self.seen.__getitem__, distinct)):
-            for i in found:
-                counts[i] = counts.get(i, 0) + 1
+        marked = [w for w in distinct if self.seen[w]]
+        if marked:
+            times = Counter(words)
+            for word in marked:
+                for i in self.seen[word]:
+                    counts[i] = counts.get(i, 0) + times[word]
         return counts, shape_of(text, words, len(distinct))
 
     def probabilities(self, text: str) -> list[float]:
@@ -139,9 +144,18 @@ def _predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
-    """x: rows of terms and shapes; y: a column for each category; folds: each row's fold number."""
-    out, known = [], x
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability, in steps of 0.05, above which F1 is best; the middle one of equally good ones."""
+    grid = np.round(np.arange(0.1, 0.95, 0.05), 2)
+    score = [2 * int(((p >= g) & y).sum()) / max(1, int((p >= g).sum() + y.sum())) for g in grid]
+    best = [g for g, s in zip(grid, score) if s == max(score)]
+    return float(best[len(best) // 2]) if y.any() else THRESHOLD
+
+
+def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each category's weights, and out-of-fold probabilities. x: rows of terms and shapes; y: a column for each
+    category; folds: each row's fold number."""
+    out, known, n = [], x, x.shape[1]
     for c in range(y.shape[1]):
         target = y[:, c].astype(np.float64)
         out.append(fit_logistic(known, target))
@@ -151,7 +165,7 @@ def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> list[np.ndarra
             if held.any() and not held.all():
                 unseen[held] = _predict(known[held], fit_logistic(known[~held], target[~held]))
         known = np.concatenate([known, unseen[:, None].astype(x.dtype)], axis=1)
-    return out
+    return out, known[:, n:]
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
@@ -227,7 +241,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
         x[r, len(chain.terms) :] = shape
     y = np.array([list(v) for v in table["y"]], np.int8).reshape(len(table), len(CATEGORIES))
     folds = (table["id"].to_numpy(np.int64) * 2654435761 >> 8) % FOLDS if len(table) else np.zeros(0, np.int64)
-    chain.weights = fit_chain(x, y, folds)
+    chain.weights, unseen = fit_chain(x, y, folds)
+    chain.threshold = best_threshold(unseen[:, -1], y[:, -1] == 1)
     return chain
 
 
@@ -242,15 +257,16 @@ def score_column(chain: Chain, text_col: str = "text") -> Column:
     return score(text_or_empty(text_col))
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, p_<category> ..., toxic) for each row."""
+def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float | None = None) -> DataFrame:
+    """(doc_id, p_<category> ..., toxic) for each row; the threshold is the one with the best F1 over
+    out-of-fold predictions unless given."""
     chain = train_chain(docs, labels, max_train)
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), score_column(chain).alias("p"))
     scored = scored.select("doc_id", *[F.get("p", i).alias(f"p_{c}") for i, c in enumerate(CATEGORIES)])
-    return scored.withColumn("toxic", F.col("p_toxic") >= threshold)
+    return scored.withColumn("toxic", F.col("p_toxic") >= (chain.threshold if threshold is None else threshold))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float | None = None) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
     chain = train_chain(docs, labels, max_train)
-    return docs.withColumn("__p", score_column(chain)).where(F.get("__p", CATEGORIES.index("toxic")) < threshold).drop("__p")
+    return docs.withColumn("__p", score_column(chain)).where(F.get("__p", CATEGORIES.index("toxic")) < (chain.threshold if threshold is None else threshold)).drop("__p")

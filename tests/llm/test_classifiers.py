@@ -29,13 +29,20 @@ def test_later_models_see_unseen_probabilities():
     y = draw.integers(0, 2, 60)
     both = np.stack([y, y], axis=1)
     folds = np.arange(60) % toxicity.FOLDS
-    honest = toxicity.fit_chain(x, both, folds)
+    honest, unseen = toxicity.fit_chain(x, both, folds)
+    assert unseen.shape == (60, 2)
     seen = toxicity._predict(x, honest[0])
     cheating = toxicity.fit_logistic(np.concatenate([x, seen[:, None].astype(np.float32)], axis=1), y.astype(float))
     assert len(honest[1]) == len(honest[0]) + 1
     assert abs(honest[1][55]) < abs(cheating[55])
 
 
+def test_threshold():
+    p, y = np.array([0.1, 0.2, 0.3, 0.9]), np.array([False, False, True, True])
+    assert 0.2 < toxicity.best_threshold(p, y) <= 0.3
+    assert toxicity.best_threshold(p, np.zeros(4, bool)) == toxicity.THRESHOLD
+
+
 @pytest.fixture(scope="module")
 def toxic_rows(spark):
     draw = np.random.default_rng(2)
