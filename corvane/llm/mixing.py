@@ -5,8 +5,8 @@ gets more than max_copies times its own words, and the excess goes to the others
 one level for all uncapped sources, found with running sums over the sources). Every document of a source
 gets floor(target / size) certain whole copies. The rest is a fixed-size sample: each document has
 random odds u/(1-u), u from a hash of its id, divided by its inclusion odds p/(1-p); the lowest ranks are
-taken while their words fit, and one more document, the untaken one whose size is nearest to what is still
-missing, is added where that comes nearer to the target.
+taken while their words fit. Of the NEAR documents on either side of that cut up to two are then flipped, those
+that bring the source's words nearest to its target.
 
 A source is never sorted as a whole: ranks fall into BINS bins by value, words are summed by bin, and only
 rows of the bin in which the target is crossed are ordered.
@@ -31,6 +31,7 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 SEED = 42
 BINS = 4096
+NEAR = 24
 #: Sources are broadcast up to this count (some 60 bytes each); beyond it the join is salted.
 BROADCAST_SOURCES = 50_000
 SALTS = 32
@@ -114,11 +115,29 @@ def plan_mix(rows: DataFrame, params: MixParams = MixParams()) -> tuple[DataFram
     missing = F.when(F.col("__cross").isNotNull(), F.col("__left") - F.coalesce(F.col("__run"), F.col("__before"))).otherwise(0.0)
     facts = reliable_checkpoint(_join_sources(facts, edge).withColumn("__missing", missing))
 
-    loose = _ranked(_attach(narrow, facts, small)).where(~_within() & F.col("__cross").isNotNull() & (F.col("__missing") > 0))
-    gap = F.abs(F.col("__size") - F.col("__missing"))
-    added = loose.where(gap < F.col("__missing")).groupBy("__source").agg(F.min(F.struct(gap.alias("gap"), "__q", "__id")).alias("a"))
-    added = added.select("__source", F.struct(F.col("a.__q").alias("__q"), F.col("a.__id").alias("__id")).alias("__added"))
-    return reliable_checkpoint(_join_sources(facts, added)), small
+    ranked = _ranked(_attach(narrow, facts, small)).where(F.col("__q").isNotNull())
+    near = _nearest(ranked.where(_within()), True).unionByName(_nearest(ranked.where(~_within()), False))
+    near = near.groupBy("__source").agg(F.array_sort(F.collect_list(F.struct("__q", "__id", "change"))).alias("near"), F.first("__missing").alias("m"))
+    flips = near.select("__source", _best_flips().alias("__flips"))
+    return reliable_checkpoint(_join_sources(facts, flips)), small
+
+
+def _nearest(rows: DataFrame, taken: bool) -> DataFrame:
+    """The NEAR rows of each source next to the cut; each task keeps as many before they are shuffled."""
+    order = (F.desc("__q"), F.desc("__id")) if taken else (F.asc("__q"), F.asc("__id"))
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__source").orderBy(*order))).where(F.col("__n") <= NEAR)
+    return first.select("__source", "__q", "__id", "__missing", (F.col("__size") * (-1 if taken else 1)).alias("change"))
+
+
+def _best_flips() -> Column:
+    """Up to two of the near documents whose flips bring the words taken nearest to the target."""
+    mark = lambda x: F.struct(x["__q"].alias("__q"), x["__id"].alias("__id"))
+    option = lambda change, n, *marks: F.struct(F.abs(F.col("m") - change).alias("gap"), F.lit(n).alias("n"), F.array(*marks).alias("flips"))
+    kind = "array<struct<__q:double,__id:bigint>>"
+    none = F.array(F.struct(F.abs(F.col("m")).alias("gap"), F.lit(0).alias("n"), F.array().cast(kind).alias("flips")))
+    one = F.transform("near", lambda x: option(x["change"], 1, mark(x)))
+    two = F.flatten(F.transform("near", lambda x, i: F.transform(F.slice("near", i + 2, F.size("near")), lambda y: option(x["change"] + y["change"], 2, mark(x), mark(y)))))
+    return F.array_min(F.concat(none, one, two))["flips"]
 
 
 def _join_sources(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -136,12 +155,12 @@ def _within() -> Column:
     return F.coalesce(inside, F.col("__cross").isNull() & F.col("__q").isNotNull(), F.lit(False))
 
 
-def apply_mix(rows: DataFrame, facts: DataFrame, small: bool) -> DataFrame:
-    """The rows of with_draws and source_size, target, copies (whole copies the mix takes of each)."""
+def apply_mix(rows: DataFrame, facts: DataFrame, small: bool, out: str = "copies") -> DataFrame:
+    """The rows of with_draws and source_size, target and, as out, how many copies of each the mix takes."""
     kept = _ranked(_attach(rows, facts, small))
-    more = _within() | F.coalesce(_order() == F.col("__added"), F.lit(False))
-    kept = kept.withColumn("copies", F.col("__copies") + more.cast("bigint"))
-    return kept.drop("__q", "__bin", "__p", "__left", "__cross", "__before", "__last", "__run", "__missing", "__added", "__copies")
+    more = _within() != F.coalesce(F.array_contains("__flips", _order()), F.lit(False))
+    kept = kept.withColumn(out, F.col("__copies") + more.cast("bigint"))
+    return kept.drop("__q", "__bin", "__p", "__left", "__cross", "__before", "__last", "__run", "__missing", "__flips", "__copies")
 
 
 def mix_documents(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -149,7 +168,5 @@ def mix_documents(docs: DataFrame, params: MixParams = MixParams(), id_col: str
     drawn = with_draws(docs, params, id_col, source_col, text_col)
     narrow = reliable_checkpoint(drawn.select("__id", "__source", "__size", "__u"))
     facts, small = plan_mix(narrow, params)
-    mixed = apply_mix(drawn, facts.drop("source_size", "target"), small).where(F.col("copies") > 0) if "copies" not in docs.columns else None
-    if mixed is None:
-        raise ValueError("rename the column 'copies' before mixing")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = apply_mix(drawn, facts.drop("source_size", "target"), small, "__taken").where(F.col("__taken") > 0)
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__taken").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -118,9 +118,15 @@ ORACLES: dict[str, str] = {
         r as (select d.*, s6.* exclude (source), case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end q from d join s6 on d.source is not distinct from s6.source),
         c as (select *, case when q is not null then sum(size) over (partition by source, q is null order by q, doc_id range between unbounded preceding and current row) end run from r),
         f as (select *, coalesce(run <= remaining, false) inside from c),
-        m as (select source, max(remaining) - coalesce(max(run) filter (where inside), 0) missing, bool_or(q is not null and not inside) over_ from f group by source),
-        a as (select f.source, (list(struct_pack(q := f.q, id := f.doc_id) order by abs(f.size - m.missing), f.q, f.doc_id))[1] pick from f join m on f.source is not distinct from m.source
-            where m.over_ and f.q is not null and not f.inside and abs(f.size - m.missing) < m.missing group by f.source)
-        select f.doc_id, f.size, f.source_size, f.target, cast((f.base + case when f.inside or coalesce(f.q = a.pick.q and f.doc_id = a.pick.id, false) then 1 else 0 end) * f.size as bigint) taken
+        g as (select source, bool_or(q is not null and not inside) cut, max(remaining) - coalesce(max(run) filter (where inside), 0) missing from f group by source),
+        b as (select f.source, f.q, f.doc_id, f.inside, f.size, case when g.cut then g.missing else 0 end missing,
+            row_number() over (partition by f.source, f.inside order by case when f.inside then -f.q else f.q end, case when f.inside then -f.doc_id else f.doc_id end) n
+            from f join g on f.source is not distinct from g.source where f.q is not null),
+        near as (select source, q, doc_id, missing, case when inside then -size else size end change from b where n <= 24),
+        options as (select source, abs(missing) gap, 0 n, cast(null as double) q1, cast(null as bigint) i1, cast(null as double) q2, cast(null as bigint) i2 from (select distinct source, missing from near)
+            union all select source, abs(missing - change), 1, q, doc_id, null, null from near
+            union all select x.source, abs(x.missing - (x.change + y.change)), 2, x.q, x.doc_id, y.q, y.doc_id from near x join near y on x.source is not distinct from y.source and (x.q, x.doc_id) < (y.q, y.doc_id)),
+        a as (select * from options qualify row_number() over (partition by source order by gap, n, q1, i1, q2, i2) = 1)
+        select f.doc_id, f.size, f.source_size, f.target, cast((f.base + case when f.inside <> coalesce(f.q = a.q1 and f.doc_id = a.i1 or coalesce(f.q = a.q2 and f.doc_id = a.i2, false), false) then 1 else 0 end) * f.size as bigint) taken
         from f left join a on f.source is not distinct from a.source""",
 }
