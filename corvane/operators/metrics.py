@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from .ranking import docs_of_shards
 
 METHODS = ("single_centroid", "multi_centroid", "group_single_centroid", "group_multi_centroid")
 
@@ -60,7 +61,7 @@ def doc_recall_at_k(queries: DataFrame, selected: DataFrame, qrels: DataFrame, s
         return queries.select("query_id").distinct().withColumn("doc_recall", F.lit(0.0))
     wanted = positives(qrels)
     chosen = selected.select("query_id", "shard_id").distinct().join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    scored = shards.select("doc_id", "shard_id", "embedding").join(chosen, "shard_id").select("query_id", "doc_id", dot(F.col("q"), F.col("embedding")).alias("score"))
+    scored = docs_of_shards(shards.select("doc_id", "shard_id", "embedding"), chosen, "q").select("query_id", "doc_id", dot(F.col("q"), F.col("embedding")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     hits = best.select("query_id", "doc_id").withColumn("hit", F.lit(1.0))

@@ -26,6 +26,18 @@ def meet(queries: DataFrame, others: DataFrame, vector: str = "centroid") -> Dat
     return left.join(right, "__block").drop("__block")
 
 
+def docs_of_shards(shards: DataFrame, chosen: DataFrame, vector: str) -> DataFrame:
+    """Documents joined by shard_id to (query, shard, vector) rows.
+
+    There are only as many shard ids as shards, so documents are not shuffled by them: the chosen rows are
+    broadcast if their checked size allows, and otherwise meet the documents in parts of each shard."""
+    if chosen.count() * max(1, dimension(chosen, vector)) * 8 <= BROADCAST_BYTES:
+        return shards.join(F.broadcast(chosen), "shard_id")
+    left = shards.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int"))
+    right = chosen.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    return left.join(right, ["shard_id", "__part"]).drop("__part")
+
+
 def dot_scores(queries: DataFrame, others: DataFrame, vector: str = "centroid", query_vector: str = "embedding") -> DataFrame:
     """All columns but the vectors, and score."""
     return meet(queries, others, vector).withColumn("score", dot(F.col(query_vector), F.col(vector))).drop(query_vector, vector)

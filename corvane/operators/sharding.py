@@ -27,7 +27,8 @@ def seeded_rank(rows: DataFrame, seed: int, within: str | None = None, key: str
     if within:
         same = same & F.col(within).eqNullSafe(F.col("__k"))
     number = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__h", key))
-    ranked = rows.withColumn("__n", number).join(offsets, same)
+    # Without groups there are at most 16 ** BUCKET_DIGITS offsets.
+    ranked = rows.withColumn("__n", number).join(offsets if within else F.broadcast(offsets), same)
     return ranked.withColumn(out, (F.col("__skip") + F.col("__n") - 1).cast("bigint")).drop("__h", "__b", "__n", "__b0", "__skip", "__k")
 
 

@@ -66,7 +66,7 @@ def mean_doc_recall(rankings: DataFrame, queries: DataFrame, evaluated: DataFram
     variant tells which cut-offs see it."""
     reached = rankings.where(F.col("rank") <= max(top_b_values)).join(evaluated, "query_id")
     pairs = reached.select("query_id", "shard_id").distinct().join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    scores = shards.select("doc_id", "shard_id", "embedding").join(pairs, "shard_id").select("query_id", "shard_id", "doc_id", dot(F.col("q"), F.col("embedding")).alias("score"))
+    scores = ranking.docs_of_shards(shards.select("doc_id", "shard_id", "embedding"), pairs, "q").select("query_id", "shard_id", "doc_id", dot(F.col("q"), F.col("embedding")).alias("score"))
     # Within one shard only its k best documents of a query can count.
     per_shard = Window.partitionBy("query_id", "shard_id").orderBy(F.desc("score"), "doc_id")
     best = scores.withColumn("n", F.row_number().over(per_shard)).where(F.col("n") <= k).drop("n")

@@ -175,13 +175,15 @@ def test_coverage_counts_unmapped_documents_on_request(spark):
     assert rows(metrics.relevant_shards(qrels, placed), "query_id", "shard_id") == [("q", 0), ("q", 1)]
 
 
-def test_doc_recall(spark):
+def test_doc_recall(spark, monkeypatch):
     shards = docs_of(spark, [[1, 0], [0.9, 0], [0, 1], [5, 5]]).withColumn("shard_id", F.when(F.col("pos") < 3, 0).otherwise(1))
     queries = frame(spark, [("q", [1.0, 0.0])], "query_id string, embedding array<double>")
     chosen = frame(spark, [("q", 0)], "query_id string, shard_id bigint")
     qrels = frame(spark, [("q", "0", 1), ("q", "2", 1), ("q", "3", 1)], "query_id string, doc_id string, rel int")
     for k, expected in ((0, 0.0), (1, 1 / 3), (2, 1 / 3), (3, 2 / 3), (9, 2 / 3)):
         assert metrics.doc_recall_at_k(queries, chosen, qrels, shards, k).first().doc_recall == pytest.approx(expected)
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 0)
+    assert metrics.doc_recall_at_k(queries, chosen, qrels, shards, 3).first().doc_recall == pytest.approx(2 / 3)
 
 
 def test_group_metrics(spark):
