@@ -32,7 +32,9 @@ def _check(k: int, rows: int) -> None:
 
 
 def centre_table(centres: list[tuple[int, list[float]]]) -> Column:
-    return F.array(*[F.struct(F.lit(c).alias("cid"), F.lit(list(map(float, v))).alias("centre")) for c, v in centres])
+    """Centres as one constant array<struct<cid, centre>>."""
+    rows = (f"named_struct('cid', {c}, 'centre', array({', '.join(f'{float(x)!r}D' for x in v)}))" for c, v in centres)
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def lloyd(rows: DataFrame, k: int, seed: int = 42, iterations: int = ITERATIONS, key: str = "doc_id", column: str = "embedding") -> list[tuple[int, list[float]]]:

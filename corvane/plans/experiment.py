@@ -5,15 +5,14 @@ evaluated together in one aggregate."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from ..operators import ranking, representation
-from ..operators.metrics import evaluated_queries, group_recall, positives, scoring_cost
+from ..operators.metrics import evaluated_queries, positives, scoring_cost
 from ..operators.sharding import build_shards, doc_to_shard
 from ..runtime import reliable_checkpoint
 from .config import AblationConfig
@@ -21,20 +20,8 @@ from .config import AblationConfig
 ROW = ("dataset", "shard_type", "method", "num_shards", "num_groups", "num_selected_groups", "centroids_per_shard", "top_b", "mean_shard_recall", "mean_oracle_doc_coverage", "mean_selected_shard_count", "accessed_shard_ratio", "accessed_group_ratio", "centroid_scoring_cost", "num_queries", "seed")
 
 
-@dataclass(frozen=True)
-class Variant:
-    method: str
-    k: int = 1
-    num_groups: int | None = None
-    num_selected: int | None = None
-    cost: int = 0
-
-    def tag(self, ranked: DataFrame) -> DataFrame:
-        return ranked.select(F.lit(self.name).alias("variant"), "query_id", "shard_id", "rank")
-
-    @property
-    def name(self) -> str:
-        return f"{self.method}/{self.k}/{self.num_groups}/{self.num_selected}"
+def variant_name(method: Column, k: Column, num_groups: Column, num_selected: Column) -> Column:
+    return F.concat_ws("/", method, k, F.coalesce(num_groups, F.lit(0)), F.coalesce(num_selected, F.lit(0)))
 
 
 def evaluate(rankings: DataFrame, relevance: DataFrame, evaluated: DataFrame, top_b_values: tuple[int, ...]) -> DataFrame:
@@ -82,44 +69,66 @@ def mean_doc_recall(rankings: DataFrame, queries: DataFrame, evaluated: DataFram
     return every.join(found, ["variant", "top_b", "query_id"], "left").groupBy("variant", "top_b").agg(F.avg(F.coalesce("found", F.lit(0)) / F.col("n")).alias("mean"))
 
 
-def _variants(config: AblationConfig, num_shards: int, queries: DataFrame, single: DataFrame, multi: dict[int, DataFrame]):
-    """(variant, ranking, selected groups or None, groups or None) of each method and parameter."""
-    yield Variant("single_centroid", cost=scoring_cost("single_centroid", num_shards)), ranking.rank_single(queries, single), None, None
-    for k, many in multi.items():
-        yield Variant("multi_centroid", k, cost=scoring_cost("multi_centroid", num_shards, k)), ranking.rank_multi(queries, many), None, None
-    if not config.grouping:
-        return
-    for num_groups in config.num_groups:
-        if num_groups >= num_shards:
-            continue
-        groups = reliable_checkpoint(representation.shard_groups(single, num_groups, config.seed, config.kmeans_iterations))
-        centres = reliable_checkpoint(representation.group_centroids(single, groups))
-        sizes = [r["count"] for r in groups.groupBy("group_id").count().collect()]
-        for g in config.num_selected_groups:
-            if g > num_groups:
-                continue
-            chosen = ranking.selected_groups(queries, centres, g)
-            args = (num_shards, None, num_groups, g, sizes)
-            yield Variant("group_single_centroid", 1, num_groups, g, scoring_cost("group_single_centroid", *args)), ranking.rank_group_single(queries, centres, groups, single, g), chosen, groups
-            for k, many in multi.items():
-                args = (num_shards, k, num_groups, g, sizes)
-                yield Variant("group_multi_centroid", k, num_groups, g, scoring_cost("group_multi_centroid", *args)), ranking.rank_group_multi(queries, centres, groups, many, g), chosen, groups
+def _method(k: Column, grouped: bool) -> Column:
+    """k is 0 for the single centroid of a shard."""
+    names = ("group_single_centroid", "group_multi_centroid") if grouped else ("single_centroid", "multi_centroid")
+    return F.when(k == 0, names[0]).otherwise(names[1])
+
+
+def _grouped(queries: DataFrame, scores: DataFrame, single: DataFrame, num_groups: int, config: AblationConfig) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """Rankings of all centroid sets and numbers of selected groups; the selected groups; members; group sizes."""
+    groups = reliable_checkpoint(representation.shard_groups(single, num_groups, config.seed, config.kmeans_iterations))
+    centres = reliable_checkpoint(representation.group_centroids(single, groups))
+    sizes = [r["count"] for r in groups.groupBy("group_id").count().collect()]
+    options = [g for g in config.num_selected_groups if g <= num_groups]
+    g = F.explode(F.filter(F.array(*map(F.lit, options)), lambda x: x >= F.col("group_rank")))
+    chosen = ranking.selected_groups(queries, centres, max(options)).select("*", g.alias("num_selected_groups"))
+    chosen = reliable_checkpoint(chosen.withColumn("num_groups", F.lit(num_groups)))
+    order = Window.partitionBy("k", "num_selected_groups", "query_id").orderBy(F.desc("score"), "group_rank", "shard_id")
+    ranked = chosen.join(groups, "group_id").join(scores, ["query_id", "shard_id"]).withColumn("rank", F.row_number().over(order))
+    return ranked, chosen, groups, sizes
 
 
 def evaluate_shards(docs: DataFrame, queries: DataFrame, qrels: DataFrame, config: AblationConfig, shard_type: str, num_shards: int, **options) -> DataFrame:
-    """All result rows of one partition of the corpus."""
+    """All result rows of one partition of the corpus.
+
+    Queries meet all centroids once, whatever the number of methods; each method ranks those scores."""
     spark = docs.sparkSession
     shards = build_shards(shard_type, docs, num_shards, config.seed, **options)
     shards = reliable_checkpoint(shards.select("doc_id", "pos", "embedding", "shard_id"))
     relevance = reliable_checkpoint(relevance_of(qrels, doc_to_shard(shards)))
-    evaluated = evaluated_queries(queries, relevance)
+    evaluated = reliable_checkpoint(evaluated_queries(queries, relevance))
+    queries = queries.join(evaluated, "query_id", "left_semi").select("query_id", "embedding")
     single = reliable_checkpoint(representation.single_centroids(shards))
-    multi = {k: reliable_checkpoint(representation.multi_centroids(shards, k, config.seed, config.multi_iterations)) for k in config.centroid_k_values}
-    found = list(_variants(config, num_shards, queries, single, multi))
-    rankings = reliable_checkpoint(reduce(DataFrame.unionByName, [v.tag(r) for v, r, _, _ in found]))
-
-    table = [(v.name, v.method, v.num_groups, v.num_selected, v.k, v.cost) for v, *_ in found]
-    facts = spark.createDataFrame(table, "variant string, method string, num_groups int, num_selected_groups int, centroids_per_shard int, centroid_scoring_cost bigint")
+    sets = [single.select(F.lit(0).alias("k"), "shard_id", "centroid")]
+    for k in config.centroid_k_values:
+        many = representation.multi_centroids(shards, k, config.seed, config.multi_iterations)
+        sets.append(many.select(F.lit(k).alias("k"), "shard_id", "centroid"))
+    centroids = reliable_checkpoint(reduce(DataFrame.unionByName, sets))
+    scores = ranking.dot_scores(queries, centroids).groupBy("k", "query_id", "shard_id").agg(F.max("score").alias("score"))
+    scores = reliable_checkpoint(scores)
+
+    none = F.lit(None).cast("int")
+    order = Window.partitionBy("k", "query_id").orderBy(F.desc("score"), "shard_id")
+    plain = scores.withColumn("rank", F.row_number().over(order))
+    parts = [plain.select(variant_name(_method(F.col("k"), False), F.col("k"), none, none).alias("variant"), "query_id", "shard_id", "rank")]
+    cost = lambda method, *rest: scoring_cost(method, num_shards, *rest)
+    table = [("single_centroid", None, None, 0, cost("single_centroid"))]
+    table += [("multi_centroid", None, None, k, cost("multi_centroid", k)) for k in config.centroid_k_values]
+    group_rows = []
+    for num_groups in config.num_groups if config.grouping else ():
+        if num_groups >= num_shards or not any(g <= num_groups for g in config.num_selected_groups):
+            continue
+        ranked, chosen, groups, sizes = _grouped(queries, scores, single, num_groups, config)
+        parts.append(ranked.select(variant_name(_method(F.col("k"), True), F.col("k"), F.col("num_groups"), F.col("num_selected_groups")).alias("variant"), "query_id", "shard_id", "rank"))
+        for g in (g for g in config.num_selected_groups if g <= num_groups):
+            table.append(("group_single_centroid", num_groups, g, 0, cost("group_single_centroid", None, num_groups, g, sizes)))
+            table += [("group_multi_centroid", num_groups, g, k, cost("group_multi_centroid", k, num_groups, g, sizes)) for k in config.centroid_k_values]
+        group_rows.append(_group_metrics(chosen, relevance, evaluated, groups))
+    rankings = reliable_checkpoint(reduce(DataFrame.unionByName, parts))
+
+    facts = spark.createDataFrame(table, "method string, num_groups int, num_selected_groups int, k int, centroid_scoring_cost bigint")
+    facts = facts.withColumns({"variant": variant_name(*map(F.col, ("method", "k", "num_groups", "num_selected_groups"))), "centroids_per_shard": F.greatest("k", F.lit(1))})
     cut_offs = spark.createDataFrame([(b,) for b in config.top_b_values], "top_b int")
     # A row for each variant and cut-off, also where no query is evaluated.
     rows = facts.crossJoin(cut_offs).join(evaluate(rankings, relevance, evaluated, config.top_b_values), ["variant", "top_b"], "left")
@@ -128,7 +137,10 @@ def evaluate_shards(docs: DataFrame, queries: DataFrame, qrels: DataFrame, confi
         recall = mean_doc_recall(rankings, queries, evaluated, qrels, shards, config.top_b_values, k)
         name = f"mean_doc_recall_at_{k}_within_selected_shards"
         rows = rows.join(recall.withColumnRenamed("mean", name), ["variant", "top_b"], "left").fillna(0, [name])
-    rows = rows.join(_group_metrics(found, relevance, evaluated), ["num_groups", "num_selected_groups"], "left") if any(s is not None for _, _, s, _ in found) else rows.withColumns({"mean_group_recall": F.lit(None).cast("double"), "group_drop_error_rate": F.lit(None).cast("double")})
+    if group_rows:
+        rows = rows.join(reduce(DataFrame.unionByName, group_rows), ["num_groups", "num_selected_groups"], "left")
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("mean_group_recall", "group_drop_error_rate")})
     rows = rows.withColumns({
         "dataset": F.lit(config.dataset),
         "shard_type": F.lit(shard_type),
@@ -140,15 +152,14 @@ def evaluate_shards(docs: DataFrame, queries: DataFrame, qrels: DataFrame, confi
     return rows.select(*ROW, *[f"mean_doc_recall_at_{k}_within_selected_shards" for k in config.document_recall_k_values], "mean_group_recall", "group_drop_error_rate")
 
 
-def _group_metrics(found, relevance: DataFrame, evaluated: DataFrame) -> DataFrame:
+def _group_metrics(chosen: DataFrame, relevance: DataFrame, evaluated: DataFrame, groups: DataFrame) -> DataFrame:
     """(num_groups, num_selected_groups, mean_group_recall, group_drop_error_rate)."""
-    relevant = relevance.join(evaluated, "query_id", "left_semi").select("query_id", "shard_id")
-    parts = []
-    for v, _, chosen, groups in found:
-        if v.method == "group_single_centroid":
-            recall = group_recall(chosen, relevant, groups)
-            parts.append(recall.agg(F.lit(v.num_groups).alias("num_groups"), F.lit(v.num_selected).alias("num_selected_groups"), F.avg("group_recall").alias("mean_group_recall"), F.avg((F.col("group_recall") == 0).cast("double")).alias("group_drop_error_rate")))
-    return reduce(DataFrame.unionByName, parts)
+    wanted = relevance.join(evaluated, "query_id", "left_semi").join(groups, "shard_id").select("query_id", "group_id").distinct()
+    options = chosen.select("num_groups", "num_selected_groups").distinct()
+    hit = chosen.select("num_groups", "num_selected_groups", "query_id", "group_id", F.lit(1.0).alias("hit"))
+    found = wanted.crossJoin(F.broadcast(options)).join(hit, ["num_groups", "num_selected_groups", "query_id", "group_id"], "left")
+    recall = found.groupBy("num_groups", "num_selected_groups", "query_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+    return recall.groupBy("num_groups", "num_selected_groups").agg(F.avg("recall").alias("mean_group_recall"), F.avg((F.col("recall") == 0).cast("double")).alias("group_drop_error_rate"))
 
 
 def run_ablation(docs: DataFrame, queries: DataFrame, qrels: DataFrame, config: AblationConfig) -> DataFrame:
