@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,39 +39,47 @@ def _places(rows: DataFrame, vector: str, *keys: str) -> DataFrame:
     return rows.select(*keys, F.posexplode(vector).alias("i", "value")).select(*keys, "i", r6("value"))
 
 
-def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.random_shards(fx.doc_embeddings(spark, sf_dir), SHARDS, SEED)
+class Run:
+    """Frames that one query uses in several places; those that cost a shuffle are written once."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.docs, self.queries, self.qrels = (f(spark, sf_dir) for f in (fx.doc_embeddings, fx.query_embeddings, fx.qrels))
 
-def _topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.topic_shards(fx.doc_embeddings(spark, sf_dir), SHARDS, SEED, STEPS)
+    @cached_property
+    def shards(self) -> DataFrame:
+        return reliable_checkpoint(sharding.random_shards(self.docs, SHARDS, SEED))
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        return sharding.doc_to_shard(self.shards)
 
-def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return representation.single_centroids(_random(spark, sf_dir))
+    @cached_property
+    def single(self) -> DataFrame:
+        return reliable_checkpoint(representation.single_centroids(self.shards))
 
+    @cached_property
+    def multi(self) -> DataFrame:
+        return representation.multi_centroids(self.shards, MULTI_K, SEED, MULTI_STEPS)
 
-def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return representation.multi_centroids(_random(spark, sf_dir), MULTI_K, SEED, MULTI_STEPS)
+    @cached_property
+    def groups(self) -> DataFrame:
+        return representation.shard_groups(self.single, GROUPS, SEED, GROUP_STEPS)
 
+    @cached_property
+    def centres(self) -> DataFrame:
+        return representation.group_centroids(self.single, self.groups)
 
-def _groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Single centroids, shard groups and group centroids."""
-    single = reliable_checkpoint(_single(spark, sf_dir))
-    groups = representation.shard_groups(single, GROUPS, SEED, GROUP_STEPS)
-    return single, groups, representation.group_centroids(single, groups)
+    @cached_property
+    def selected(self) -> DataFrame:
+        return reliable_checkpoint(ranking.top_b(ranking.rank_single(self.queries, self.single), TOP_B))
 
+    @cached_property
+    def relevant(self) -> DataFrame:
+        return reliable_checkpoint(metrics.relevant_shards(self.qrels, self.placed))
 
-def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top_b(ranking.rank_single(fx.query_embeddings(spark, sf_dir), _single(spark, sf_dir)), TOP_B)
-
-
-def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.relevant_shards(fx.qrels(spark, sf_dir), sharding.doc_to_shard(_random(spark, sf_dir)))
-
-
-def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.evaluated_queries(fx.query_embeddings(spark, sf_dir), _relevant(spark, sf_dir))
+    @cached_property
+    def evaluated(self) -> DataFrame:
+        return metrics.evaluated_queries(self.queries, self.relevant)
 
 
 @query
@@ -159,12 +168,13 @@ def missing_query_texts(spark, sf_dir):
 
 @query
 def shard_random(spark, sf_dir):
-    return _random(spark, sf_dir).select("doc_id", "ord", "shard_id")
+    return sharding.random_shards(fx.doc_embeddings(spark, sf_dir), SHARDS, SEED).select("doc_id", "ord", "shard_id")
 
 
 @query
 def shard_topic(spark, sf_dir):
-    return _topic(spark, sf_dir).select("doc_id", "shard_id")
+    shards = sharding.topic_shards(fx.doc_embeddings(spark, sf_dir), SHARDS, SEED, STEPS)
+    return shards.select("doc_id", "shard_id")
 
 
 @query
@@ -187,22 +197,22 @@ def kmeans_assign(spark, sf_dir):
 
 @query
 def doc_to_shard(spark, sf_dir):
-    return sharding.doc_to_shard(_random(spark, sf_dir))
+    return Run(spark, sf_dir).placed
 
 
 @query
 def shard_size_summary(spark, sf_dir):
-    return sharding.shard_size_summary(_random(spark, sf_dir), SHARDS).withColumn("mean_size", r6("mean_size"))
+    return sharding.shard_size_summary(Run(spark, sf_dir).shards, SHARDS).withColumn("mean_size", r6("mean_size"))
 
 
 @query
 def single_centroids(spark, sf_dir):
-    return _places(_single(spark, sf_dir), "centroid", "shard_id")
+    return _places(Run(spark, sf_dir).single, "centroid", "shard_id")
 
 
 @query
 def multi_centroids(spark, sf_dir):
-    return _places(_multi(spark, sf_dir), "centroid", "shard_id", "centroid_id")
+    return _places(Run(spark, sf_dir).multi, "centroid", "shard_id", "centroid_id")
 
 
 @query
@@ -215,22 +225,23 @@ def l2_normalize(spark, sf_dir):
 
 @query
 def shard_groups(spark, sf_dir):
-    return _groups(spark, sf_dir)[1]
+    return Run(spark, sf_dir).groups
 
 
 @query
 def group_centroids(spark, sf_dir):
-    return _places(_groups(spark, sf_dir)[2], "centroid", "group_id")
+    return _places(Run(spark, sf_dir).centres, "centroid", "group_id")
 
 
 @query
 def group_size_summary(spark, sf_dir):
-    return representation.group_size_summary(_groups(spark, sf_dir)[1]).withColumn("mean_size", r6("mean_size"))
+    return representation.group_size_summary(Run(spark, sf_dir).groups).withColumn("mean_size", r6("mean_size"))
 
 
 @query
 def dot_scores(spark, sf_dir):
-    scores = ranking.dot_scores(fx.query_embeddings(spark, sf_dir), _single(spark, sf_dir))
+    run = Run(spark, sf_dir)
+    scores = ranking.dot_scores(run.queries, run.single)
     return scores.select("query_id", "shard_id", r6("score"))
 
 
@@ -240,54 +251,58 @@ def _ranking(rows: DataFrame, *names: str) -> DataFrame:
 
 @query
 def rank_single(spark, sf_dir):
-    return _ranking(ranking.rank_single(fx.query_embeddings(spark, sf_dir), _single(spark, sf_dir)), "shard_id")
+    run = Run(spark, sf_dir)
+    return _ranking(ranking.rank_single(run.queries, run.single), "shard_id")
 
 
 @query
 def rank_multi(spark, sf_dir):
-    return _ranking(ranking.rank_multi(fx.query_embeddings(spark, sf_dir), _multi(spark, sf_dir)), "shard_id")
+    run = Run(spark, sf_dir)
+    return _ranking(ranking.rank_multi(run.queries, run.multi), "shard_id")
 
 
 @query
 def rank_groups(spark, sf_dir):
-    return _ranking(ranking.rank_groups(fx.query_embeddings(spark, sf_dir), _groups(spark, sf_dir)[2]), "group_id")
+    run = Run(spark, sf_dir)
+    return _ranking(ranking.rank_groups(run.queries, run.centres), "group_id")
 
 
 @query
 def rank_group_single(spark, sf_dir):
-    single, groups, centres = _groups(spark, sf_dir)
-    return _ranking(ranking.rank_group_single(fx.query_embeddings(spark, sf_dir), centres, groups, single, SELECTED), "group_id", "group_rank", "shard_id")
+    run = Run(spark, sf_dir)
+    return _ranking(ranking.rank_group_single(run.queries, run.centres, run.groups, run.single, SELECTED), "group_id", "group_rank", "shard_id")
 
 
 @query
 def rank_group_multi(spark, sf_dir):
-    _, groups, centres = _groups(spark, sf_dir)
-    return _ranking(ranking.rank_group_multi(fx.query_embeddings(spark, sf_dir), centres, groups, _multi(spark, sf_dir), SELECTED), "group_id", "group_rank", "shard_id")
+    run = Run(spark, sf_dir)
+    return _ranking(ranking.rank_group_multi(run.queries, run.centres, run.groups, run.multi, SELECTED), "group_id", "group_rank", "shard_id")
 
 
 @query
 def top_b_shards(spark, sf_dir):
-    return _ranking(_selected(spark, sf_dir), "shard_id")
+    return _ranking(Run(spark, sf_dir).selected, "shard_id")
 
 
 @query
 def relevant_shards(spark, sf_dir):
-    return _relevant(spark, sf_dir)
+    return Run(spark, sf_dir).relevant
 
 
 @query
 def evaluated_queries(spark, sf_dir):
-    return _evaluated(spark, sf_dir)
+    return Run(spark, sf_dir).evaluated
 
 
 @query
 def shard_recall(spark, sf_dir):
-    return metrics.shard_recall(_selected(spark, sf_dir), _relevant(spark, sf_dir), fx.query_embeddings(spark, sf_dir)).select("query_id", r6("shard_recall"))
+    run = Run(spark, sf_dir)
+    return metrics.shard_recall(run.selected, run.relevant, run.queries).select("query_id", r6("shard_recall"))
 
 
 def _coverage(spark: SparkSession, sf_dir: str, count_unmapped: bool) -> DataFrame:
-    placed = sharding.doc_to_shard(_random(spark, sf_dir))
-    found = metrics.doc_coverage(_selected(spark, sf_dir), fx.qrels(spark, sf_dir), placed, fx.query_embeddings(spark, sf_dir), count_unmapped)
+    run = Run(spark, sf_dir)
+    found = metrics.doc_coverage(run.selected, run.qrels, run.placed, run.queries, count_unmapped)
     return found.select("query_id", r6("doc_coverage"))
 
 
@@ -303,25 +318,22 @@ def oracle_doc_coverage_all(spark, sf_dir):
 
 @query
 def doc_recall_at_k(spark, sf_dir):
-    found = metrics.doc_recall_at_k(fx.query_embeddings(spark, sf_dir), _selected(spark, sf_dir), fx.qrels(spark, sf_dir), _random(spark, sf_dir), TOP_K)
+    run = Run(spark, sf_dir)
+    found = metrics.doc_recall_at_k(run.queries, run.selected, run.qrels, run.shards, TOP_K)
     return found.select("query_id", r6("doc_recall"))
 
 
-def _chosen_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    _, groups, centres = _groups(spark, sf_dir)
-    return ranking.selected_groups(fx.query_embeddings(spark, sf_dir), centres, 1), groups
-
-
 @query
 def group_recall(spark, sf_dir):
-    chosen, groups = _chosen_groups(spark, sf_dir)
-    return metrics.group_recall(chosen, _relevant(spark, sf_dir), groups).select("query_id", r6("group_recall"))
+    run = Run(spark, sf_dir)
+    chosen = ranking.selected_groups(run.queries, run.centres, 1)
+    return metrics.group_recall(chosen, run.relevant, run.groups).select("query_id", r6("group_recall"))
 
 
 @query
 def group_drop_error(spark, sf_dir):
-    chosen, groups = _chosen_groups(spark, sf_dir)
-    return metrics.group_drop_error(chosen, _relevant(spark, sf_dir), groups)
+    run = Run(spark, sf_dir)
+    return metrics.group_drop_error(ranking.selected_groups(run.queries, run.centres, 1), run.relevant, run.groups)
 
 
 @query
@@ -332,15 +344,14 @@ def scoring_cost(spark, sf_dir):
 
 @query
 def actual_scoring_cost(spark, sf_dir):
-    return metrics.actual_scoring_cost(_multi(spark, sf_dir))
+    return metrics.actual_scoring_cost(Run(spark, sf_dir).multi)
 
 
 @query
 def eval_summary(spark, sf_dir):
-    queries, qrels, shards = fx.query_embeddings(spark, sf_dir), fx.qrels(spark, sf_dir), _random(spark, sf_dir)
-    placed, selected = sharding.doc_to_shard(shards), _selected(spark, sf_dir)
-    relevant, evaluated = _relevant(spark, sf_dir), _evaluated(spark, sf_dir)
-    summary = experiment.eval_summary(selected, relevant, evaluated, metrics.doc_coverage(selected, qrels, placed, queries), metrics.shard_recall(selected, relevant), SHARDS)
+    run = Run(spark, sf_dir)
+    coverage = metrics.doc_coverage(run.selected, run.qrels, run.placed, run.queries)
+    summary = experiment.eval_summary(run.selected, run.relevant, run.evaluated, coverage, metrics.shard_recall(run.selected, run.relevant), SHARDS)
     return summary.select(*[r6(c) if c != "num_queries" else F.col(c) for c in summary.columns])
 
 
@@ -395,7 +406,7 @@ def missing_positive_docs(spark, sf_dir):
 
 @query
 def skipped_queries(spark, sf_dir):
-    return experiment.skipped_queries(fx.query_embeddings(spark, sf_dir), _relevant(spark, sf_dir))
+    return experiment.skipped_queries(fx.query_embeddings(spark, sf_dir), Run(spark, sf_dir).relevant)
 
 
 @query
