@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -48,3 +50,16 @@ def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package also where neither PYTHONPATH nor the working folder leads them to
+    it: an archive is then handed to the session, which serves it to its executors."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, name = os.path.split(package)
+    reachable = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    shipped = any(os.path.basename(f) == f"{name}.zip" for f in spark.sparkContext._python_includes)
+    if shipped or any(p and os.path.isdir(os.path.join(p, name)) for p in reachable):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", root, name)
+    spark.sparkContext.addPyFile(archive)
