@@ -15,6 +15,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 FLUSH_BYTES = 8 << 20
 FLUSH_ROWS = 4096
 
+#: Arrow batches to Python workers hold at most so many bytes: a session that allows more is set to it.
+BATCH_BYTES = 16 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -24,6 +28,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Long texts make batches of the usual 10,000 rows large in both the JVM and Python."""
+    now = int("".join(c for c in spark.conf.get(_BATCH_KEY) if c.isdigit()))
+    if now > BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -39,6 +50,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple]], schema
     make() runs once per task and returns the function; weigh is the index of an output column whose
     length bounds the output batches, so that very long values do not pile up.
     """
+    bound_batches(df.sparkSession)
     names = [part.strip().split(" ")[0] for part in _split_schema(schema)]
     target = _arrow_schema(df.sparkSession, schema)
 

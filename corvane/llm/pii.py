@@ -14,10 +14,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_or_empty
+from .common import bound_batches, map_rows, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE_KINDS = KINDS[:4]
@@ -165,9 +166,11 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars",
     """All rows and columns with personal data masked in the text (a null text stays null); a column of
     the text's length, where there is one, follows the new text."""
 
-    @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(lambda t: None if t is None else mask(t, spans_of(t, min_score)))
+    bound_batches(docs.sparkSession)
+
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        return pa.array([None if (t := x.as_py()) is None else mask(t, spans_of(t, min_score)) for x in texts], pa.string())
 
     out = docs.withColumn(text_col, masked(F.col(text_col)))
     if chars_col in docs.columns:

@@ -25,13 +25,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import reliable_checkpoint
-from .common import text_or_empty
+from .common import bound_batches, text_or_empty
 
 CATEGORIES = ("low_quality", "toxic")
 MAX_TRAIN = 8000
@@ -249,10 +248,10 @@ def train_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
 def score_column(chain: Chain, text_col: str = "text") -> Column:
     """array<double>: the probability of each category, in order."""
 
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([chain.probabilities(t) for t in texts])
+            yield pa.array([chain.probabilities(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     return score(text_or_empty(text_col))
 
@@ -260,6 +259,7 @@ def score_column(chain: Chain, text_col: str = "text") -> Column:
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float | None = None) -> DataFrame:
     """(doc_id, p_<category> ..., toxic) for each row; the threshold is the one with the best F1 over
     out-of-fold predictions unless given."""
+    bound_batches(docs.sparkSession)
     chain = train_chain(docs, labels, max_train)
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), score_column(chain).alias("p"))
     scored = scored.select("doc_id", *[F.get("p", i).alias(f"p_{c}") for i, c in enumerate(CATEGORIES)])
@@ -268,5 +268,6 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, thr
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float | None = None) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
+    bound_batches(docs.sparkSession)
     chain = train_chain(docs, labels, max_train)
     return docs.withColumn("__p", score_column(chain)).where(F.get("__p", CATEGORIES.index("toxic")) < (chain.threshold if threshold is None else threshold)).drop("__p")
