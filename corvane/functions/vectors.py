@@ -44,7 +44,8 @@ def dimension(df: DataFrame, column: str = "embedding") -> int:
 
 
 def mean_vectors(df: DataFrame, keys: Sequence[str], dim: int, column: str = "embedding", out: str = "centroid") -> DataFrame:
-    """One mean vector for each key: an average for each place, so rows are summed where they are read and
-    never exploded by their places."""
-    means = df.groupBy(*keys).agg(*[F.avg(F.get(F.col(column), i)).alias(f"__m{i}") for i in range(dim)])
-    return means.select(*keys, F.array(*[F.col(f"__m{i}") for i in range(dim)]).alias(out))
+    """One mean vector for each key: a sum for each place and one count, so rows are summed where they are read
+    and never exploded by their places. Rows without a vector do not count."""
+    sums = [F.sum(F.get(F.col(column), i)).alias(f"__s{i}") for i in range(dim)]
+    means = df.groupBy(*keys).agg(F.count(column).alias("__n"), *sums)
+    return means.select(*keys, F.array(*[F.col(f"__s{i}") / F.nullif(F.col("__n"), F.lit(0)) for i in range(dim)]).alias(out))
