@@ -24,7 +24,7 @@ from .common import text_bytes
 
 UNIT_BITS = 17
 #: Rows that one part of a group should hold, and the most parts of a group.
-PART_ROWS = 20_000
+PART_ROWS = 1000
 MAX_PARTS = 4096
 
 
@@ -102,7 +102,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         offsets = rows.where(F.col("parts") > 1).groupBy(*key).count()
         earlier = Window.partitionBy("unit").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         offsets = offsets.select(*key, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("skip"))
-        # One row for each part of a hot group: by PART_ROWS at most one for 20,000 documents.
+        # One row for each part of a hot group: by PART_ROWS at most one for 1,000 documents, besides one for each group.
         rows = rows.join(offsets, key, "left")
     else:
         rows = rows.withColumn("skip", F.lit(0).cast("bigint"))
