@@ -30,8 +30,9 @@ def hashed_words(dim: int = 64) -> Encoder:
     return encode
 
 
-def encode_texts(texts: DataFrame, encoder: Encoder, batch_size: int = 128, normalize: bool = True, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, embedding array<float>) for each row; unit vectors unless told otherwise (zero stays zero)."""
+def encode_texts(texts: DataFrame, encoder: Encoder, batch_size: int = 128, normalize: bool = True, key: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, embedding array<float>) for each row; unit vectors unless told otherwise (zero stays
+    zero)."""
 
     @F.pandas_udf("array<float>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -44,4 +45,4 @@ def encode_texts(texts: DataFrame, encoder: Encoder, batch_size: int = 128, norm
                 matrix = matrix / np.where(norms > 0, norms, 1)
             yield pd.Series(list(matrix))
 
-    return texts.select(key, encoded(F.col(text_col)).alias("embedding"))
+    return texts.select(key, *keep, encoded(F.col(text_col)).alias("embedding"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import all_finite
@@ -57,6 +57,19 @@ def embedding_shape(docs: DataFrame, key: str = "doc_id", expected_dim: int | No
     )
 
 
+def with_positions(rows: DataFrame) -> DataFrame:
+    """Rows with a dense pos in the order in which the table is read: a count of each partition's rows gives
+    the offsets, and no row is shuffled. The table's files must stay as they are meanwhile."""
+    numbered = rows.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
+    counts = numbered.groupBy("__p").count()
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each partition of the table.
+    offsets = counts.select(F.col("__p").alias("__q"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__skip"))
+    within = F.col("__i") - F.shiftleft(F.col("__p").cast("bigint"), 33)
+    placed = numbered.join(F.broadcast(offsets), F.col("__p") == F.col("__q"))
+    return placed.withColumn("pos", F.col("__skip") + within).drop("__p", "__i", "__q", "__skip")
+
+
 def with_chunks(docs: DataFrame, chunk_size: int, max_docs: int | None = None) -> DataFrame:
     """Rows with chunk_idx; the first max_docs positions where that is given."""
     kept = docs if max_docs is None else docs.where(F.col("pos") < max_docs)
