@@ -7,12 +7,15 @@ hash order, steps are full passes, ties go to the lowest centre. mllib_assign of
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dimension, mean_vectors, squared_distance
 
 ITERATIONS = 5
+#: Numbers in all centres together from which a matrix product pays.
+WIDE = 8192
 
 
 def seeded_hash(seed: int, key: str) -> Column:
@@ -37,14 +40,36 @@ def centre_table(centres: list[tuple[int, list[float]]]) -> Column:
     return F.expr(f"array({', '.join(rows)})")
 
 
+def nearest_of(v: Column, centres: list[tuple[int, list[float]]]) -> Column:
+    """The cid of the nearest centre; null for a null vector.
+
+    Few or short centres are compared inside the JVM. From WIDE numbers on, Arrow batches meet the centres as one
+    matrix product, which outweighs the transfer."""
+    if not centres or len(centres) * len(centres[0][1]) < WIDE:
+        return F.when(v.isNotNull(), nearest(v, centre_table(centres)))
+    order = sorted(centres)
+    cids, matrix = np.array([c for c, _ in order]), np.array([x for _, x in order], np.float64)
+    half = (matrix**2).sum(axis=1) / 2
+
+    @F.arrow_udf("bigint")
+    def product(vectors: pa.Array) -> pa.Array:
+        there = vectors.is_valid().to_numpy(zero_copy_only=False)
+        data = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1])
+        out = np.zeros(len(there), np.int64)
+        out[there] = cids[(half - data @ matrix.T).argmin(axis=1)]
+        return pa.array(out, pa.int64(), mask=~there)
+
+    return product(v)
+
+
 def lloyd(rows: DataFrame, k: int, seed: int = 42, iterations: int = ITERATIONS, key: str = "doc_id", column: str = "embedding") -> list[tuple[int, list[float]]]:
     """Centres as (cid, vector) in order of cid; a centre that loses all rows disappears."""
-    start = rows.orderBy(seeded_hash(seed, key), F.col(key)).select(column).limit(max(k, 1)).collect()
+    start = rows.where(F.col(column).isNotNull()).orderBy(seeded_hash(seed, key), F.col(key)).select(column).limit(max(k, 1)).collect()
     _check(k, len(start))
     centres = [(i, list(r[0])) for i, r in enumerate(start)]
     dim = len(centres[0][1])
     for _ in range(iterations):
-        assigned = rows.select(nearest(F.col(column), centre_table(centres)).alias("cid"), column)
+        assigned = rows.select(nearest_of(F.col(column), centres).alias("cid"), column).where("cid is not null")
         centres = sorted((r.cid, list(r.centroid)) for r in mean_vectors(assigned, ["cid"], dim, column).collect())
     return centres
 
@@ -64,7 +89,7 @@ def lloyd_local(vectors: np.ndarray, k: int, iterations: int = ITERATIONS) -> np
 
 def assign(rows: DataFrame, centres: list[tuple[int, list[float]]], out: str = "cluster", column: str = "embedding") -> DataFrame:
     """All columns and the nearest centre's cid: a map over rows, without a join."""
-    return rows.withColumn(out, nearest(F.col(column), centre_table(centres)).cast("bigint"))
+    return rows.withColumn(out, nearest_of(F.col(column), centres).cast("bigint"))
 
 
 def grouped_lloyd(rows: DataFrame, group: str, k: int, seed: int = 42, iterations: int = 3, key: str = "doc_id", column: str = "embedding") -> DataFrame:

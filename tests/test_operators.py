@@ -96,6 +96,16 @@ def test_lloyd_separates_clusters_and_ignores_layout(spark):
         pytest.fail("clusters cross the gap")
 
 
+def test_wide_centres_give_the_same_clusters(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    df = docs_of(spark, draw.normal(size=(80, 6)).tolist() + [[0.0] * 6]).union(spark.createDataFrame([("none", 99, None)], DOCS))
+    narrow = clustering.assign(df, clustering.lloyd(df, 5))
+    monkeypatch.setattr(clustering, "WIDE", 1)
+    wide = clustering.assign(df, clustering.lloyd(df, 5))
+    assert {r.doc_id: r.cluster for r in narrow.collect()} == {r.doc_id: r.cluster for r in wide.collect()}
+    assert wide.where("doc_id = 'none'").first().cluster is None
+
+
 def test_mllib_gives_every_row_its_nearest_centre(spark):
     df = docs_of(spark, [[0, 0], [0, 1], [9, 9], [9, 8]])
     found = {r.doc_id: r.cluster for r in clustering.mllib_assign(df, 2, starts=2).collect()}
