@@ -33,7 +33,7 @@ from .common import map_rows, text_or_empty
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose classes are known to agree (the tests go through all of them): Latin, dashes and quotes.
 PLAIN = "\x00-\u024f\u2010-\u2027\u2030-\u203a\u20ac"
-MAX_WORDS = 150_000
+MAX_WORDS = 50_000
 
 
 def default_path() -> str:

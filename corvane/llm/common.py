@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: An output batch is handed on once it holds this many bytes of text or media.
-FLUSH_BYTES = 8 << 20
-FLUSH_ROWS = 4096
+FLUSH_BYTES = 2 << 20
+FLUSH_ROWS = 1024
 
 #: Arrow batches to Python workers hold at most so many bytes: a session that allows more is set to it.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -70,6 +70,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple]], schema
                     out, held = [], 0
             if out:
                 yield _batch(out, names, target)
+            # Workers live on for other stages; what Arrow keeps for reuse goes back to the machine.
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -41,7 +41,7 @@ FOLDS = 3
 RIDGE = 1e-3
 STEPS = 250
 THRESHOLD = 0.5
-MAX_WORDS = 100_000
+MAX_WORDS = 40_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _UPPER = bytes(range(65, 91))
@@ -252,6 +252,7 @@ def score_column(chain: Chain, text_col: str = "text") -> Column:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([chain.probabilities(t.as_py()) for t in texts], pa.list_(pa.float64()))
+            pa.default_memory_pool().release_unused()
 
     return score(text_or_empty(text_col))
 
