@@ -13,10 +13,11 @@ the last lists cannot exceed 512 distinct fingerprints. Pairs within a list are
 below five are dropped, the rest are verified by their differing bits, and only a spanning forest of the
 list's links is handed on, so that a dense group costs rows in proportion to its members.
 
-keep_one also links texts of similar wording: SIMILARITY of their sets of 5-word shingles, estimated by a
+keep_one also links texts of similar wording: SIMILARITY of their sets of 5-word shingles, sought by a
 longer SimHash. A sketch has 512 bits, spread from the same XXH64 values by integer mixing; two sets of Jaccard
 similarity s differ in each bit with probability acos(2s / (1 + s)) / pi, so 0.8 stands for 78 of 512
-differing bits, give or take 8; texts count as similar up to one and a half standard errors more. No byte is certain to agree at that distance, so the index is posted by KEYS fixed triples of byte
+differing bits, give or take 8; texts up to one and a half standard errors more are candidates, which are
+verified by the Jaccard similarity of their sets of shingles. No byte is certain to agree at that distance, so the index is posted by KEYS fixed triples of byte
 positions: texts at 0.8 share one with probability of some 0.85, at 0.85 of some 0.98, above that practically always. All texts
 of a list are compared with one pivot, chosen anew for each triple, so a list costs rows in proportion to
 its members whatever its length.
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import reliable_checkpoint
-from .common import map_rows, text_bytes
+from .common import bound_batches, map_rows, text_bytes
 
 SEED = 42
 SHINGLE = 3
@@ -324,10 +325,43 @@ def similar_links(nodes: DataFrame, max_bits: int) -> DataFrame:
     return both.where(apart <= max_bits).select("a", "b")
 
 
+def shingles(text: bytes, shingle: int = WORDS) -> set[bytes]:
+    """Distinct shingles of a text; fewer words are one shingle, no words none."""
+    words = text.lower().split()
+    if len(words) < shingle:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(p) for p in zip(*(words[i:] for i in range(shingle)))}
+
+
+def verified(pairs: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """The pairs (a, b) of text hashes whose texts' shingle sets have at least that Jaccard similarity."""
+    bound_batches(docs.sparkSession)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    data = text_bytes(text_col)
+    texts = docs.select(F.xxhash64(data).alias("h"), data.alias("t")).join(wanted, F.col("h") == F.col("node"), "left_semi")
+    texts = reliable_checkpoint(texts.groupBy("h").agg(F.first("t").alias("t")))
+    side = lambda name, t: texts.select(F.col("h").alias(name + "_"), F.col("t").alias(t))
+    both = pairs.join(side("a", "x"), F.col("a") == F.col("a_")).join(side("b", "y"), F.col("b") == F.col("b_")).select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = batch.columns
+            keep = []
+            for i in range(batch.num_rows):
+                one, other = shingles(x[i].as_py()), shingles(y[i].as_py())
+                shared = len(one & other)
+                keep.append(shared > 0 and shared / (len(one) + len(other) - shared) >= similarity)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+        pa.default_memory_pool().release_unused()
+
+    return reliable_checkpoint(both.mapInArrow(run, "a bigint, b bigint"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id (null last), then the
     smallest text hash; of rows that agree in both, one. Texts are in a group when links join them: fingerprints
-    of at most MAX_BITS differing bits, or sketches of that similarity."""
+    of at most MAX_BITS differing bits, or 5-word shingle sets of at least that Jaccard similarity."""
     rows = reliable_checkpoint(_sketched(docs, id_col, text_col))
     nodes = reliable_checkpoint(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
     # One text stands for each fingerprint; the other texts with that fingerprint link to it.
@@ -335,7 +369,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     same = nodes.join(stands.where("n > 1").withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).where("node <> stand").select(F.col("node").alias("a"), F.col("stand").alias("b"))
     named = lambda side: stands.select(F.col("fp").alias(side + "_"), F.col("stand").alias(side + "s"))
     near = links(stands.select("fp")).join(named("a"), F.col("a") == F.col("a_")).join(named("b"), F.col("b") == F.col("b_")).select(F.col("as").alias("a"), F.col("bs").alias("b"))
-    roots = components(same.union(near).union(similar_links(nodes.select("node", "sketch"), bits_apart(similarity))))
+    similar = verified(similar_links(nodes.select("node", "sketch"), bits_apart(similarity)), docs, text_col, similarity)
+    roots = components(same.union(near).union(similar))
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))
     first = rows.groupBy("text_hash").agg(F.min(order).alias("k"))
     first = first.join(roots, F.col("text_hash") == F.col("node"), "left").groupBy(F.coalesce("root", "text_hash").alias("r")).agg(F.min("k").alias("k"))

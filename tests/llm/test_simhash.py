@@ -126,3 +126,27 @@ def test_keep_one_finds_similar_wording(spark):
     assert {i for i, _ in clean} <= kept
     assert {groups[i] for i in kept if i < 1000} == set(range(60))
     assert len([i for i in kept if i < 1000]) <= 62
+
+
+def around(draw, words, edits, n=200):
+    """A text and a copy with isolated words replaced, and their Jaccard similarity by brute force."""
+    base = draw.choice(words, n).tolist()
+    copy = list(base)
+    for at in edits:
+        copy[at] = "new" + str(draw.integers(1 << 40))
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, copy)]
+    return " ".join(base), " ".join(copy), len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_keep_one_leaves_texts_below_the_similarity(spark):
+    draw = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(4000)]
+    docs = []
+    for g in range(60):
+        x, y, likeness = around(draw, words, range(9, 9 + 6 * 30, 30))
+        assert 0.7 < likeness < 0.8
+        if bin(brute_fingerprint(x) ^ brute_fingerprint(y)).count("1") <= 3:
+            continue  # such texts link by their fingerprints
+        docs += [(2 * g, x), (2 * g + 1, y)]
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert len(docs) > 80 and kept.count() == len(docs)
