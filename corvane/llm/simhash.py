@@ -13,14 +13,11 @@ the last lists cannot exceed 512 distinct fingerprints. Pairs within a list are
 below five are dropped, the rest are verified by their differing bits, and only a spanning forest of the
 list's links is handed on, so that a dense group costs rows in proportion to its members.
 
-keep_one also links texts of similar wording: SIMILARITY of their sets of 5-word shingles, sought by a
-longer SimHash. A sketch has 512 bits, spread from the same XXH64 values by integer mixing; two sets of Jaccard
-similarity s differ in each bit with probability acos(2s / (1 + s)) / pi, so 0.8 stands for 78 of 512
-differing bits, give or take 8; texts up to one and a half standard errors more are candidates, which are
-verified by the Jaccard similarity of their sets of shingles. No byte is certain to agree at that distance, so the index is posted by KEYS fixed triples of byte
-positions: texts at 0.8 share one with probability of some 0.85, at 0.85 of some 0.98, above that practically always. All texts
-of a list are compared with one pivot, chosen anew for each triple, so a list costs rows in proportion to
-its members whatever its length.
+keep_one also links texts whose sets of 5-word shingles have a Jaccard similarity of at least SIMILARITY.
+Two sets of that similarity share one of the first prefix_length members of each in any common order
+of all shingles, so an index of those members finds every pair; shingles that are frequent in a sample come last in
+the order, the others by their hash. How many prefix members a pair shares bounds its similarity from above;
+the pairs that this leaves are verified on their texts. Members of a list meet its least node.
 
 Components come from alternating large-star and small-star steps over the links of distinct fingerprints.
 
@@ -55,17 +52,13 @@ BLOCK = 1 << 15
 LIST = 64
 MAX_ROUNDS = 60
 
-#: keep_one's wording: shingle length, similarity, longs of a sketch, byte triples.
+#: keep_one's wording: shingle length and similarity.
 WORDS = 5
 SIMILARITY = 0.8
-SKETCH = 8
-KEYS = 160
-
-
-def bits_apart(similarity: float, slack: float = 1.5) -> int:
-    """Differing bits of two sketches whose sets have that Jaccard similarity, and so many standard errors."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(64 * SKETCH * p + slack * math.sqrt(64 * SKETCH * p * (1 - p)))
+#: Shingles that so many of a sample of so many texts have come last in prefixes, at most so many of them.
+SAMPLE = 8_000
+COMMON = 8
+MAX_COMMON = 500_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -251,78 +244,92 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(reliable_checkpoint(named), F.col("fp") == F.col("fp_")).drop("fp_")
 
 
-def sketch(text: bytes, shingle: int = WORDS) -> np.ndarray:
-    """The longer SimHash over distinct shingles: SKETCH longs."""
+def shingle_hashes(text: bytes, shingle: int = WORDS) -> np.ndarray:
+    """Signed XXH64 of a text's distinct shingles, sorted."""
     words = text.lower().split()
     if not words:
-        return np.zeros(SKETCH, np.int64)
+        return np.zeros(0, np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     parts = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else iter([words])
-    hashes = np.fromiter({digest(join(p), SEED) for p in parts}, np.uint64)
-    counts = np.zeros((SKETCH * 8, 256), np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        z = hashes[at : at + BLOCK, None] + _STEPS
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        raw = (z ^ (z >> np.uint64(31))).view(np.uint8).reshape(len(z), SKETCH * 8)
-        counts += np.bincount((raw + _OFFSETS).ravel(), minlength=SKETCH * 8 * 256).reshape(SKETCH * 8, 256)
-    bits = (counts @ _BITS) * 2 > len(hashes)
-    return np.packbits(bits, axis=1).ravel().view(np.int64)
+    return np.unique(np.fromiter({digest(join(p), SEED) for p in parts}, np.uint64).view(np.int64))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Sets of n and of any other size that have that similarity share one of their first so many members."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
 
+def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that are frequent in a sample of texts, sorted, and their ranks by frequency. They only set
+    the order in which prefixes are taken; any order finds the same links."""
+    bound_batches(docs.sparkSession)
+    data = text_bytes(text_col)
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    h = F.xxhash64(data)
+    some = docs.where(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20))).select(h.alias("h"), data.alias("t")).dropDuplicates(["h"]).select("t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text.as_py()))], names=["s"])
 
-#: Constants of the splitmix64 generator, and tables from a byte to its bits.
-_STEPS = (np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-_OFFSETS = (np.arange(SKETCH * 8, dtype=np.int32) * 256)[None, :]
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-_TRIPLES = np.array([np.random.default_rng(k).choice(SKETCH * 8, 3, replace=False) for k in range(KEYS)])
+    counts = some.mapInArrow(run, "s bigint").groupBy("s").count().where(F.col("count") >= COMMON)
+    found = counts.orderBy(F.desc("count"), "s").limit(MAX_COMMON).toPandas().sort_values("s")
+    hashes, often = found["s"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
+    ranks = np.empty(len(hashes), np.int64)
+    ranks[np.lexsort((hashes, often))] = np.arange(1, len(hashes) + 1)
+    return hashes, ranks
 
 
-def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, fp, sketch) for each row."""
+def _prefixed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, text_hash, fp, n, prefix) for each row: the size of its shingle set and the first of its hashes."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
 
     def make():
+        common, ranks = shared.value
+
         def one(row):
-            fp = fingerprint(row[2])
-            return row[0], row[1], fp - (1 << 64) if fp >> 63 else fp, sketch(row[2]).tolist()
+            fp, own = fingerprint(row[2]), shingle_hashes(row[2])
+            n = len(own)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                own = own[np.argsort(np.where(common[at] == own, ranks[at], 0), kind="stable")]
+            prefix = own[: prefix_length(n, similarity)] if n else own
+            return row[0], row[1], fp - (1 << 64) if fp >> 63 else fp, n, prefix.tolist()
 
         return one
 
     data = text_bytes(text_col)
     narrow = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.xxhash64(data).alias("text_hash"), data.alias("text"))
-    return map_rows(narrow, make, f"{id_col} bigint, text_hash bigint, fp bigint, sketch array<bigint>")
+    return map_rows(narrow, make, f"{id_col} bigint, text_hash bigint, fp bigint, n int, prefix array<bigint>", weigh=4)
 
 
-def _sketch_keys(nodes: DataFrame) -> DataFrame:
-    """(node, key): each sketch's KEYS byte triples, the triple's number above its 24 bits."""
+def _likely(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those meetings (a, b, na, nb), one for each shared prefix member, that can be similar: what
+    they share beyond the prefixes is at most the rest of one set."""
+    rest = F.greatest(*[F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1 for n in ("na", "nb")])
+    need = F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6
+    pairs = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"))
+    return reliable_checkpoint(pairs.where(F.col("c") + rest >= need).select("a", "b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            raw = batch.column(1).flatten().to_numpy().astype(np.int64).view(np.uint8).reshape(n, SKETCH * 8).astype(np.int64)
-            for at in range(0, n, 1024):
-                part = raw[at : at + 1024][:, _TRIPLES]
-                keys = (np.arange(KEYS) << 24) | (part[:, :, 0] << 16) | (part[:, :, 1] << 8) | part[:, :, 2]
-                ids = batch.column(0).slice(at, len(part)).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, KEYS)), pa.array(keys.ravel())], names=["node", "key"])
-
-    return nodes.select("node", "sketch").mapInArrow(run, "node bigint, key bigint")
-
-
-def similar_links(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): links between nodes whose sketches differ in at most max_bits bits. nodes: (node, sketch)."""
-    # A pivot is the least node after its bits are flipped by a mask of the triple's own.
-    mask = F.xxhash64(F.shiftright("key", 24))
-    # Sketches are few bytes but many postings each, so they are dealt out before they are posted.
+
+def _sizes_fit(x: str, y: str, similarity: float) -> Column:
+    return F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6
+
+
+def pivot_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): candidates of each posting list's least node with its other members. nodes: (node, n, prefix)."""
+    posted = _prefix_postings(nodes)
+    pivots = posted.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    pivots = pivots.select(F.col("key").alias("key_"), F.col("p.node").alias("a"), F.col("p.n").alias("na"))
+    met = posted.join(pivots, F.col("key") == F.col("key_")).where((F.col("node") > F.col("a")) & _sizes_fit("n", "na", similarity))
+    return _likely(met.select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")), similarity)
+
+
+def _prefix_postings(nodes: DataFrame) -> DataFrame:
+    # Prefixes are dealt out before they are posted.
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = _sketch_keys(nodes.repartition(spread, "node"))
-    pivots = posted.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("m"), F.count("*").alias("n")).where("n > 1")
-    pivots = reliable_checkpoint(pivots.select(F.col("key").alias("key_"), F.col("m").bitwiseXOR(mask).alias("pivot")))
-    pairs = posted.join(pivots, F.col("key") == F.col("key_")).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    pairs = reliable_checkpoint(pairs)
-    side = lambda name, bits: nodes.select(F.col("node").alias(name + "_"), F.col("sketch").alias(bits))
-    both = pairs.join(side("a", "x"), F.col("a") == F.col("a_")).join(side("b", "y"), F.col("b") == F.col("b_"))
-    apart = sum((F.bit_count(F.get("x", i).bitwiseXOR(F.get("y", i))) for i in range(SKETCH)), F.lit(0))
-    return both.where(apart <= max_bits).select("a", "b")
+    return nodes.repartition(spread, "node").select("node", "n", F.explode("prefix").alias("key"))
 
 
 def shingles(text: bytes, shingle: int = WORDS) -> set[bytes]:
@@ -362,14 +369,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """One document of each group, with all its columns: the one with the smallest id (null last), then the
     smallest text hash; of rows that agree in both, one. Texts are in a group when links join them: fingerprints
     of at most MAX_BITS differing bits, or 5-word shingle sets of at least that Jaccard similarity."""
-    rows = reliable_checkpoint(_sketched(docs, id_col, text_col))
-    nodes = reliable_checkpoint(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    rows = reliable_checkpoint(_prefixed(docs, id_col, text_col, similarity))
+    nodes = reliable_checkpoint(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     # One text stands for each fingerprint; the other texts with that fingerprint link to it.
     stands = reliable_checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("stand"), F.count("*").alias("n")))
-    same = nodes.join(stands.where("n > 1").withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).where("node <> stand").select(F.col("node").alias("a"), F.col("stand").alias("b"))
+    same = nodes.select("node", "fp").join(stands.where("n > 1").withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).where("node <> stand").select(F.col("node").alias("a"), F.col("stand").alias("b"))
     named = lambda side: stands.select(F.col("fp").alias(side + "_"), F.col("stand").alias(side + "s"))
     near = links(stands.select("fp")).join(named("a"), F.col("a") == F.col("a_")).join(named("b"), F.col("b") == F.col("b_")).select(F.col("as").alias("a"), F.col("bs").alias("b"))
-    similar = verified(similar_links(nodes.select("node", "sketch"), bits_apart(similarity)), docs, text_col, similarity)
+    similar = verified(pivot_pairs(nodes, similarity), docs, text_col, similarity)
     roots = components(same.union(near).union(similar))
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))
     first = rows.groupBy("text_hash").agg(F.min(order).alias("k"))

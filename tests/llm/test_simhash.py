@@ -150,3 +150,19 @@ def test_keep_one_leaves_texts_below_the_similarity(spark):
         docs += [(2 * g, x), (2 * g + 1, y)]
     kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string"))
     assert len(docs) > 80 and kept.count() == len(docs)
+
+
+def test_candidates_are_complete_at_the_similarity(spark):
+    """Pairs just above 0.8 that no fingerprint links, common passages among them."""
+    draw = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(4000)]
+    passage = " ".join(draw.choice(words, 12))
+    docs = []
+    for g in range(150):
+        x, y, likeness = around(draw, words, range(9, 9 + 4 * 40, 40))
+        assert 0.8 <= likeness < 0.85
+        if bin(brute_fingerprint(x) ^ brute_fingerprint(y)).count("1") > 3:
+            tail = " " + passage if g % 3 == 0 else ""
+            docs += [(2 * g, x + tail), (2 * g + 1, y + tail)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert len(docs) > 200 and kept == {i for i, _ in docs if i % 2 == 0}
