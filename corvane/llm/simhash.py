@@ -17,7 +17,8 @@ keep_one also links texts whose sets of 5-word shingles have a Jaccard similarit
 Two sets of that similarity share one of the first prefix_length members of each in any common order
 of all shingles, so an index of those members finds every pair; shingles that are frequent in a sample come last in
 the order, the others by their hash. How many prefix members a pair shares bounds its similarity from above;
-the pairs that this leaves are verified on their texts. Members of a list meet its least node.
+the pairs that this leaves are verified on their texts. Members of a list
+meet its least node first; then all pairs of a list that are not joined by then are compared.
 
 Components come from alternating large-star and small-star steps over the links of distinct fingerprints.
 
@@ -59,6 +60,8 @@ SIMILARITY = 0.8
 SAMPLE = 8_000
 COMMON = 8
 MAX_COMMON = 500_000
+#: Longer posting lists are compared in parts of so many members.
+LIST_PART = 2_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -326,10 +329,26 @@ def pivot_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     return _likely(met.select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")), similarity)
 
 
-def _prefix_postings(nodes: DataFrame) -> DataFrame:
+def other_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): candidates among all members of each posting list that roots (node, root) do not join yet."""
+    named = roots.select(F.col("node").alias("node_"), "root")
+    rooted = nodes.select("node", "n", "prefix").join(named, F.col("node") == F.col("node_"), "left")
+    rooted = reliable_checkpoint(rooted.select("node", "n", "prefix", F.coalesce("root", "node").alias("root")))
+    posted = _prefix_postings(rooted, "root")
+    mixed = posted.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+    mixed = reliable_checkpoint(mixed.select(F.col("key").alias("key_"), F.ceil(F.col("c") / LIST_PART).cast("int").alias("parts")))
+    kept = reliable_checkpoint(posted.join(mixed, F.col("key") == F.col("key_")).select("key", "node", "n", "root", "parts"))
+    # One side of a long list is dealt into parts, each of which meets all members.
+    x = kept.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    y = kept.select(F.col("key").alias("key_"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_"))
+    met = x.join(y, (F.col("key") == F.col("key_")) & (F.col("part") == F.col("part_"))).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit("na", "nb", similarity))
+    return _likely(met.select("a", "b", "na", "nb"), similarity)
+
+
+def _prefix_postings(nodes: DataFrame, *more: str) -> DataFrame:
     # Prefixes are dealt out before they are posted.
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return nodes.repartition(spread, "node").select("node", "n", F.explode("prefix").alias("key"))
+    return nodes.repartition(spread, "node").select("node", "n", *more, F.explode("prefix").alias("key"))
 
 
 def shingles(text: bytes, shingle: int = WORDS) -> set[bytes]:
@@ -377,7 +396,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     named = lambda side: stands.select(F.col("fp").alias(side + "_"), F.col("stand").alias(side + "s"))
     near = links(stands.select("fp")).join(named("a"), F.col("a") == F.col("a_")).join(named("b"), F.col("b") == F.col("b_")).select(F.col("as").alias("a"), F.col("bs").alias("b"))
     similar = verified(pivot_pairs(nodes, similarity), docs, text_col, similarity)
-    roots = components(same.union(near).union(similar))
+    joined = reliable_checkpoint(same.union(near).union(similar))
+    roots = components(joined)
+    # Pairs that the pivots have joined need no look; all others that share a list get one.
+    rest = verified(other_pairs(nodes, roots, similarity), docs, text_col, similarity)
+    if not rest.isEmpty():
+        roots = components(joined.union(rest))
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))
     first = rows.groupBy("text_hash").agg(F.min(order).alias("k"))
     first = first.join(roots, F.col("text_hash") == F.col("node"), "left").groupBy(F.coalesce("root", "text_hash").alias("r")).agg(F.min("k").alias("k"))

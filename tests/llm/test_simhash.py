@@ -166,3 +166,23 @@ def test_candidates_are_complete_at_the_similarity(spark):
             docs += [(2 * g, x + tail), (2 * g + 1, y + tail)]
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert len(docs) > 200 and kept == {i for i, _ in docs if i % 2 == 0}
+
+
+@pytest.mark.parametrize("part", [3, 2000])
+def test_all_members_of_shared_lists_meet(spark, monkeypatch, part):
+    """Pairs about 0.85 whose lists hold many other texts: all texts share most of their words."""
+    monkeypatch.setattr(simhash, "LIST_PART", part)
+    draw = np.random.default_rng(10)
+    words = [f"w{i}" for i in range(4000)]
+    shared, docs = draw.choice(words, 100).tolist(), []
+    for g in range(80):
+        x, y, likeness = around(draw, words, (30, 80), 100)
+        x, y = (" ".join(shared) + " " + t for t in (x, y))
+        if bin(brute_fingerprint(x) ^ brute_fingerprint(y)).count("1") > 3:
+            docs += [(2 * g, x), (2 * g + 1, y)]
+    sets = [simhash.shingles(t.encode()) for _, t in docs]
+    close = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert close == [(i, i - 1) for i in range(1, len(sets), 2)] and len(close) > 30
+    monkeypatch.setattr(simhash, "common_shingles", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert kept == {i for i, _ in docs if i % 2 == 0}
