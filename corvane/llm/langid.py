@@ -32,8 +32,8 @@ FILTERS = 16
 WINDOW = 256
 STRIDE = WINDOW - max(WIDTHS) + 1
 BLOCK = 512
-MAX_LANGS = 100
 DOCS_PER_LANG = 800
+TRAIN_DOCS = 80_000
 SLICES = 3
 EPOCHS = 12
 BATCH = 64
@@ -145,12 +145,15 @@ def remainder(id_col: str) -> Column:
 def train_net(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> ByteNet | None:
     usable = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     usable = usable.where(F.col("lang").isNotNull() & (remainder("id") != 1))
-    found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    usable = usable.withColumn("u", F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    found = usable.groupBy("lang").agg(F.count("*").alias("count"), F.min(F.when(_has_letter("text"), F.col("u"))).alias("least")).collect()
     if not found:
         return None
-    u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_lang / r["count"]))) for r in found], F.lit(0.0))
-    chosen = usable.where((u < share) & _has_letter("text")).withColumn("data", _data("text"))
+    each = max(1, min(docs_per_lang, TRAIN_DOCS // len(found)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"]), r["least"]) for r in found], "l string, share double, least double")
+    # The first row by hash is always taken, so that no language is without one.
+    usable = usable.join(F.broadcast(shares), F.col("lang") == F.col("l"))
+    chosen = usable.where(((F.col("u") < F.col("share")) | (F.col("u") == F.col("least"))) & _has_letter("text")).withColumn("data", _data("text"))
     size = F.octet_length("data")
     starts = [F.floor(F.greatest(size - WINDOW, F.lit(0)) * (i / max(1, SLICES - 1))).cast("int") + 1 for i in range(SLICES)]
     slices = F.array_distinct(F.array(*[F.substring(F.col("data"), s, F.lit(WINDOW)) for s in starts]))
@@ -163,7 +166,8 @@ def train_net(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     for r, (_, _, s) in enumerate(rows):
         windows[r, : len(s)] = np.frombuffer(s, np.uint8)
     net = ByteNet(languages)
-    net.train(windows, np.array([languages.index(l) for _, l, _ in rows]))
+    places = {l: i for i, l in enumerate(languages)}
+    net.train(windows, np.array([places[l] for _, l, _ in rows]))
     return net
 
 

@@ -137,3 +137,12 @@ def test_language_odd_rows(spark, odd, empty, clashing):
     assert langid.identify(clashing).count() == odd.count()
     none = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {(r.lang_pred, r.score) for r in langid.identify(none).collect()} == {("und", 0.0)}
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    from corvane.llm import langid
+
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 150, raising=False)
+    rows = [(10 * k + i, f"words of language {k}", f"l{k:03}") for k in range(130) for i in range(10)]
+    net = langid.train_net(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert net.languages == [f"l{k:03}" for k in range(130)]
