@@ -1,39 +1,53 @@
-"""Byte-level BPE through distinct-word tables, and back through an id-to-piece table.
+"""Byte-level BPE through one table of distinct words, and back through an id-to-piece table.
 
-Texts are split into words by the byte-level pre-tokenizer's pattern (after the strings of added tokens are
-cut out, which are ids of their own); a text with characters outside PLAIN, whose classes libraries disagree
-on in places, is split by the tokenizer's own pre-tokenizer. Each distinct word of a task is encoded once, by the tokenizer's own
-merge model, into a table from word to ids; a document's ids are its words' table rows joined in the order
-of their positions. Decoding joins ids with the pieces of the vocabulary (one row for each id, at most some
-50,000) in order of position, and reads the joined bytes as UTF-8.
+Texts are split into words by the byte-level pre-tokenizer's pattern in the JVM. Texts with characters outside
+PLAIN, whose classes libraries disagree on in places, and texts that hold an added token's string (which is a
+word and an id of its own) are split by the tokenizer's own pre-tokenizer. Words are counted with partial
+counts where texts are read, so that only distinct words are shuffled, and each distinct word of the corpus is encoded
+once, by the tokenizer's own merge model: that is the word table (word, ids, n).
 
-The table is kept by task rather than made once for the whole corpus: a corpus-wide one needs every
-word occurrence, or every text, shuffled to meet it (see the README for figures). It is emptied when it
-holds MAX_WORDS words, so memory is bounded for any corpus.
+A document's ids are its words' table rows joined in the order of their positions. The rows of a text follow each
+other in one task before and after a broadcast join, so they are put together there without a shuffle. The
+table is broadcast while it is known to hold at most BROADCAST_BYTES. Beyond that its most frequent words are, up to that size;
+occurrences of the other words meet the rest of the table in a shuffle by word, once for each distinct text, and
+come back to their texts as patches in order of position.
+
+Decoding joins ids with the pieces of the vocabulary (one row for each id, at most some 50,000) in order of position
+and reads the joined bytes as UTF-8.
 
 Edge cases: a null text counts as empty and has no tokens; null ids and repeated rows pass through row by
-row; words of any length are encoded whole; an id without a piece decodes to nothing; other columns are
-left out.
+row; words of any length are encoded whole; null ids (the list) decode to a null text, an id without a piece
+decodes to nothing; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import re
 from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import regex
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_or_empty
+from ..runtime import reliable_checkpoint
+from .common import FLUSH_BYTES, arrow_schema, schema_names, text_or_empty
 
+#: Fixed value: white space of the word pattern, spelled out because the JVM's own class knows ASCII only.
+SPACE = r"\s\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Fixed value: the word pattern of byte-level BPE.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Characters whose classes are known to agree (the tests go through all of them): Latin, dashes and quotes.
-PLAIN = "\x00-\u024f\u2010-\u2027\u2030-\u203a\u20ac"
-MAX_WORDS = 50_000
+PLAIN = r"\x00-\u024F\u2010-\u2027\u2030-\u203A\u20AC"
+#: The part of the word table that is broadcast is at most so large.
+BROADCAST_BYTES = 24 << 20
+#: What a row of it takes besides its word and ids.
+ROW_BYTES = 64
 
 
 def default_path() -> str:
@@ -49,10 +63,10 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-class WordTable:
-    """Distinct words and their ids, for one tokenizer file."""
+class WordCoder:
+    """Splits texts into words and encodes single words, for one tokenizer file."""
 
-    def __init__(self, definition: str, max_words: int = MAX_WORDS):
+    def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         spec = json.loads(definition)
@@ -62,69 +76,42 @@ class WordTable:
             raise ValueError("only plain byte-level tokenizers are supported")
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
-        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pattern = regex.compile(PATTERN)
-        self.strange = re.compile(f"[^{PLAIN}]").search
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.letters = dict(enumerate(_byte_letters()))
-        self.max_words = max_words
-        self.ids: dict[str, bytes] = {}
 
-    def _fill(self, words: set[str]) -> None:
-        tokenize, letters = self.model.tokenize, self.letters
-        for word in words:
-            pieces = tokenize(word.encode().decode("latin-1").translate(letters))
-            self.ids[word] = array("I", [p.id for p in pieces]).tobytes()
+    def odd_pattern(self) -> str:
+        """A pattern, for the JVM, of texts that the JVM does not split."""
+        return "|".join([f"[^{PLAIN}]", *(re.sub(r"([^A-Za-z0-9])", r"\\\1", t) for t in self.added)])
 
     def split(self, text: str) -> list[str]:
-        if self.strange(text):
-            return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        return self.pattern.findall(text)
-
-    def _plain(self, text: str) -> bytes:
-        words = self.split(text)
-        missing = set(words).difference(self.ids)
-        if missing:
-            if len(self.ids) + len(missing) > self.max_words:
-                self.ids.clear()
-                missing = set(words)
-            self._fill(missing)
-        return b"".join(map(self.ids.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
+        words: list[str] = []
+        for part in self.cut.split(text) if self.cut else [text]:
+            if part in self.added:
+                words.append(part)
+            elif part:
+                words += [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+        return words
+
+    def word(self, word: str) -> bytes:
         """Ids as unsigned 32-bit integers, little-endian as all machines are that Spark's Arrow exchange runs on."""
-        if self.cut is None or not self.cut.search(text):
-            return self._plain(text)
-        return b"".join(self.added.get(part) or self._plain(part) for part in self.cut.split(text) if part)
+        if word in self.added:
+            return array("I", [self.added[word]]).tobytes()
+        pieces = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return array("I", [p.id for p in pieces]).tobytes()
 
 
-class PieceTable:
+def pieces_of(definition: str) -> dict[int, bytes]:
     """The bytes of each id."""
-
-    def __init__(self, definition: str):
-        spec = json.loads(definition)
-        back = {c: b for b, c in enumerate(_byte_letters())}
-        self.pieces = {i: bytes(back[c] for c in piece) for piece, i in spec["model"]["vocab"].items() if all(c in back for c in piece)}
-        self.pieces |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-
-    def decode(self, ids: bytes) -> str:
-        got = array("I")
-        got.frombytes(ids)
-        try:
-            joined = b"".join(map(self.pieces.__getitem__, got))
-        except KeyError:
-            joined = b"".join(self.pieces.get(i, b"") for i in got)
-        return joined.decode("utf-8", "replace")
+    spec = json.loads(definition)
+    back = {c: b for b, c in enumerate(_byte_letters())}
+    pieces = {i: bytes(back[c] for c in piece) for piece, i in spec["model"]["vocab"].items() if all(c in back for c in piece)}
+    return pieces | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
 
 
 @lru_cache(2)
-def _words(definition: str) -> WordTable:
-    return WordTable(definition)
-
-
-@lru_cache(2)
-def _pieces(definition: str) -> PieceTable:
-    return PieceTable(definition)
+def _coder(definition: str) -> WordCoder:
+    return WordCoder(definition)
 
 
 def _definition(path: str | None) -> str:
@@ -132,47 +119,176 @@ def _definition(path: str | None) -> str:
         return file.read()
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): token ids as little-endian unsigned 32-bit integers in one binary value."""
-    definition = _definition(path)
-
-    def make():
-        encode = _words(definition).encode
-        return lambda row: (row[0], encode(row[1]))
-
-    narrow = docs.select(F.col(id_col).cast("bigint").alias(id_col), text_or_empty(text_col).alias("text"))
-    return map_rows(narrow, make, f"{id_col} bigint, ids binary", weigh=1)
-
-
-def decode_documents(coded: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids, text): the text of each row's ids; null ids have a null text."""
+def words_of(text: Column, definition: str) -> Column:
+    """array<string>: the words of a text in order, added tokens among them."""
+
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = _coder(definition)
+        for texts in batches:
+            yield pa.array([None if (t := x.as_py()) is None else coder.split(t) for x in texts], pa.list_(pa.string()))
+            pa.default_memory_pool().release_unused()
+
+    odd = F.when(text.rlike(_coder(definition).odd_pattern()), text)
+    return F.coalesce(split(odd), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+
+
+def word_table(words: DataFrame, definition: str) -> DataFrame:
+    """(word, ids, n): every distinct word of a column of words (array<string>), encoded once, and its occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(definition)
+        for batch in batches:
+            ids = pa.array([coder.word(w.as_py()) for w in batch.column(0)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, batch.column(1)], names=["word", "ids", "n"])
+        pa.default_memory_pool().release_unused()
+
+    spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return reliable_checkpoint(counted.repartition(spread, "word").mapInArrow(run, "word string, ids binary, n bigint"))
+
+
+def hot_part(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent words that fit into so many bytes, and the others (None where all fit)."""
+    size = F.octet_length("word") + F.octet_length("ids") + ROW_BYTES
+    octave = F.floor(F.log2("n")).cast("int")
+    sizes = table.groupBy(octave.alias("o")).agg(F.sum(size).alias("s")).collect()
+    held, least = 0, math.inf
+    for o, s in sorted(((r.o, r.s) for r in sizes), reverse=True):
+        if held + s > most:
+            break
+        held, least = held + s, o
+    if least == math.inf and sizes:
+        least = max(r.o for r in sizes) + 1
+    if all(r.o >= least for r in sizes):
+        return table, None
+    return table.where(octave >= int(least)), table.where(octave < int(least))
+
+
+def _value(x: pa.Scalar):
+    """The value of a scalar; lists of numbers as arrays."""
+    return x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) and x.is_valid else x.as_py()
+
+
+def assemble(rows: DataFrame, keep: str, schema: str, finish: Callable[[list], tuple]) -> DataFrame:
+    """One row for each text out of rows (keep..., pos, value binary, patch) that follow each other in the order of
+    position; pos 0 begins a text (-1 begins one without a list), and the patches of its first row stand for its
+    null values in order. finish turns the joined bytes (None for pos -1) into the columns after those of keep,
+    whose values come from the first row."""
+    kept, names, target = schema_names(keep), schema_names(schema), arrow_schema(rows.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held, now, last = 0, None, -2  # now: the first row's values, the bytes so far, whether there is a list
+        patches: Iterator[bytes] = iter(())
+
+        def done():
+            return (*now[0], *finish(b"".join(now[1]) if now[2] else None))
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), target.types)], names=names)
+
+        for batch in batches:
+            pos = batch.column("pos").to_numpy(zero_copy_only=False)
+            if not len(pos):
+                continue
+            before = np.concatenate([[last], pos[:-1]])
+            if not ((pos <= 0) | (pos == before + 1)).all():
+                raise RuntimeError("the rows of a text do not follow each other")
+            last = int(pos[-1])
+            value = batch.column("value")
+            starts = np.flatnonzero(pos <= 0)
+            if value.null_count and "patch" in batch.schema.names:
+                filled, patch, begins = value.to_pylist(), batch.column("patch"), set(starts.tolist())
+                for i, v in enumerate(filled):
+                    if i in begins:
+                        patches = iter(patch[i].as_py() or ())
+                    if v is None:
+                        filled[i] = next(patches, b"")
+                value = pa.array(filled, pa.binary())
+            elif "patch" in batch.schema.names and len(starts):
+                patches = iter(batch.column("patch")[int(starts[-1])].as_py() or ())
+            offsets = np.frombuffer(value.buffers()[1], np.int32)[value.offset : value.offset + len(value) + 1]
+            data = memoryview(value.buffers()[2] or b"")
+            first = [batch.column(k) for k in kept]
+            if now is not None:
+                now[1].append(bytes(data[offsets[0] : offsets[starts[0] if len(starts) else len(pos)]]))
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(pos)]):
+                if now is not None:
+                    out.append(done())
+                    held += sum(map(len, now[1]))
+                now = ([_value(c[s]) for c in first], [bytes(data[offsets[s] : offsets[e]])], pos[s] == 0)
+                if held >= FLUSH_BYTES or len(out) >= 1024:
+                    yield batch_of()
+                    out, held = [], 0
+            pa.default_memory_pool().release_unused()
+        if now is not None:
+            out.append(done())
+        if out:
+            yield batch_of()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _patches(words: DataFrame, cold: DataFrame, hot: DataFrame) -> DataFrame:
+    """(h, patch): for each distinct text (by hash h) that has words outside the hot part, their ids in order."""
+    once = words.groupBy("h").agg(F.first("words").alias("words")).select("h", F.posexplode("words").alias("pos", "w"))
+    rare = once.join(F.broadcast(hot.select("word")), F.col("w") == F.col("word"), "left_anti")
+    met = rare.join(cold.select("word", "ids"), F.col("w") == F.col("word")).select("h", "pos", "ids")
+    listed = met.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("l"))
+    return listed.select("h", F.transform("l", lambda x: x["ids"]).alias("patch"))
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, n_tokens, ids, ids_sha256) for each row: token ids in order, and the digest of them as
+    little-endian unsigned 32-bit integers."""
     definition = _definition(path)
-
-    def make():
-        decode = _pieces(definition).decode
-        return lambda row: (row[0], row[1], None if row[1] is None else decode(row[1]))
-
-    return map_rows(coded.select(id_col, "ids"), make, f"{id_col} bigint, ids binary, text string", weigh=2)
-
-
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, text): encode_documents and decode_documents in one pass over the rows."""
+    text = text_or_empty(text_col)
+    words = docs.select(F.col(id_col).cast("bigint").alias("i"), words_of(text, definition).alias("words"))
+    hot, cold = hot_part(word_table(words, definition), broadcast_bytes)
+    if cold is not None:
+        keyed = docs.select(F.col(id_col).cast("bigint").alias("i"), F.md5(text).alias("h"), words_of(text, definition).alias("words"))
+        patches = reliable_checkpoint(_patches(keyed, cold, hot)).withColumnRenamed("h", "h_")
+        words = keyed.join(patches, F.col("h") == F.col("h_"), "left").select("i", "words", "patch")
+    else:
+        words = words.withColumn("patch", F.lit(None).cast("array<binary>"))
+    rows = words.select("i", "patch", F.posexplode_outer("words").alias("pos", "w"))
+    rows = rows.join(F.broadcast(hot.select("word", "ids")), F.col("w") == F.col("word"), "left")
+    pos = F.coalesce("pos", F.lit(0))
+    value = F.when(F.col("pos").isNull(), F.lit(b"")).otherwise(F.col("ids"))
+    rows = rows.select(F.col("i").alias(id_col), pos.alias("pos"), value.alias("value"), *([F.when(pos == 0, F.col("patch")).alias("patch")] if cold is not None else []))
+
+    def finish(ids: bytes) -> tuple:
+        return len(ids) // 4, np.frombuffer(ids, np.int32), hashlib.sha256(ids).hexdigest()
+
+    return assemble(rows, f"{id_col} bigint", f"{id_col} bigint, n_tokens bigint, ids array<int>, ids_sha256 string", finish)
+
+
+def piece_table(docs: DataFrame, definition: str) -> DataFrame:
+    """(piece_id, piece): one row for each id of the vocabulary."""
+    return docs.sparkSession.createDataFrame(pa.table({"piece_id": pa.array((p := pieces_of(definition)), pa.int32()), "piece": pa.array(list(p.values()), pa.binary())}))
+
+
+def decode_documents(coded: DataFrame, path: str | None = None, id_col: str = "doc_id", keep: str = "", out: Callable[[str | None], object] | None = None) -> DataFrame:
+    """(id, keep..., text) for each row of (id, ids array<int>, keep...): the text of its ids, or what out makes of it.
+    keep lists further columns with their types."""
     definition = _definition(path)
+    kept = f"{id_col} bigint" + (f", {keep}" if keep else "")
+    rows = coded.select(F.col("ids").alias("list"), *schema_names(kept), F.posexplode_outer("ids").alias("pos", "id_"))
+    rows = rows.join(F.broadcast(piece_table(coded, definition)), F.col("id_") == F.col("piece_id"), "left")
+    pos = F.when(F.col("list").isNull(), -1).otherwise(F.coalesce("pos", F.lit(0)))
+    first = [F.when(pos <= 0, F.col(c)).alias(c) for c in schema_names(kept)]
+    rows = rows.select(*first, pos.alias("pos"), F.coalesce("piece", F.lit(b"")).alias("value"))
 
-    def make():
-        encode, decode = _words(definition).encode, _pieces(definition).decode
-
-        def one(row):
-            ids = encode(row[1])
-            return row[0], ids, decode(ids)
-
-        return one
+    def finish(data: bytes | None) -> tuple:
+        text = None if data is None else data.decode("utf-8", "replace")
+        return (text if out is None else out(text),)
 
-    narrow = docs.select(F.col(id_col).cast("bigint").alias(id_col), text_or_empty(text_col).alias("text"))
-    return map_rows(narrow, make, f"{id_col} bigint, ids binary, text string", weigh=1)
+    return assemble(rows, kept, f"{kept}, text string", finish)
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids, ids_sha256, decoded_sha256) of each document encoded and decoded again."""
-    decoded = round_trip(docs, path, id_col, text_col)
-    return decoded.select(id_col, (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    coded = encode_documents(docs, path, id_col, text_col)
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    return decode_documents(coded, path, id_col, "n_tokens bigint, ids array<int>, ids_sha256 string", digest).withColumnRenamed("text", "decoded_sha256")

@@ -51,8 +51,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple]], schema
     length bounds the output batches, so that very long values do not pile up.
     """
     bound_batches(df.sparkSession)
-    names = [part.strip().split(" ")[0] for part in _split_schema(schema)]
-    target = _arrow_schema(df.sparkSession, schema)
+    names = schema_names(schema)
+    target = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
@@ -80,7 +80,11 @@ def _batch(rows: list[tuple], names: list[str], target: pa.Schema) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), target.types)], names=names)
 
 
-def _split_schema(schema: str) -> list[str]:
+def schema_names(schema: str) -> list[str]:
+    return [part.strip().split(" ")[0] for part in _parts(schema)]
+
+
+def _parts(schema: str) -> list[str]:
     parts, depth, start = [], 0, 0
     for i, ch in enumerate(schema):
         depth += (ch == "<") - (ch == ">")
@@ -90,7 +94,7 @@ def _split_schema(schema: str) -> list[str]:
     return [*parts, schema[start:]]
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

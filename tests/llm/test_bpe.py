@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corvane.llm import bpe
@@ -18,22 +20,26 @@ def tokenizer():
 
 
 DEFINITION = bpe._definition(None)
-WORDS, PIECES = bpe.WordTable(DEFINITION, max_words=40), bpe.PieceTable(DEFINITION)
+CODER, PIECES = bpe.WordCoder(DEFINITION), bpe.pieces_of(DEFINITION)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "'ll", "  ", "\r\n", "don't", " ٣½²", "　", "\x85", "🙂", "Ⅷ"])), max_size=8))
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "'ll", "  ", "\r\n", "don't", " ٣½²", "\u3000", "\x85", "🙂", "Ⅷ"])), max_size=8))
 def test_ids_equal_the_library(tokenizer, parts):
     text = "".join(parts)
-    ids = WORDS.encode(text)
-    assert list(np.frombuffer(ids, "<u4")) == tokenizer.encode(text, add_special_tokens=False).ids
-    assert PIECES.decode(ids) == text
+    ids = np.frombuffer(b"".join(map(CODER.word, CODER.split(text))), "<u4").tolist()
+    assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+    assert b"".join(PIECES[i] for i in ids).decode() == text
 
 
-def test_every_plain_character(tokenizer):
-    for c in filter(lambda c: not WORDS.strange(c), map(chr, range(0x2100))):
-        text = f"a{c}b {c} 1{c}'ll{c}\n{c}'s{c}{c} "
-        assert WORDS.pattern.findall(text) == [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)], hex(ord(c))
+def test_every_plain_character_splits_alike(spark, tokenizer):
+    plain = [c for c in map(chr, [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x203B), 0x20AC])]
+    texts = [f"a{c}b {c} 1{c}'ll{c}\n{c}'s{c}{c} {c} {c}" for c in plain] + ["".join(plain), " ".join(plain), "<|endoftext|>a", "x <|endoftext|>", "Ⅷ ٣\u3000 x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    odd = {r.i for r in df.where(F.col("text").rlike(CODER.odd_pattern())).collect()}
+    assert odd == {len(texts) - 3, len(texts) - 2, len(texts) - 1}
+    for r in df.select("text", bpe.words_of(F.col("text"), DEFINITION).alias("w")).collect():
+        assert r.w == CODER.split(r.text), repr(r.text)
 
 
 def test_query_against_the_library(spark, sf_dir, few, tokenizer):
@@ -44,6 +50,40 @@ def test_query_against_the_library(spark, sf_dir, few, tokenizer):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
 
+@pytest.mark.parametrize("most", [0, 6000, 1 << 30])
+def test_any_part_of_the_table_may_be_broadcast(few, odd, tokenizer, most):
+    """No word, the frequent ones or all of them: the ids stay the same."""
+    docs = few[0].where("doc_id % 20 = 0").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    found = [(r.doc_id, tuple(r.ids), r.n_tokens) for r in bpe.encode_documents(docs, broadcast_bytes=most).collect()]
+    encoded = lambda text: tuple(tokenizer.encode(text or "", add_special_tokens=False).ids)
+    expected = [(r.doc_id, encoded(r.text), len(encoded(r.text))) for r in docs.collect()]
+    assert Counter(found) == Counter(expected)
+
+
+def test_only_distinct_words_are_encoded(few):
+    words = few[0].select(bpe.words_of(F.col("text"), DEFINITION).alias("words"))
+    table = bpe.word_table(words, DEFINITION).collect()
+    expected = Counter(w for t in few[1].values() for w in CODER.split(t))
+    assert {r.word: r.n for r in table} == expected and len(table) == len(expected)
+
+
+def test_rows_out_of_order_are_refused(spark):
+    rows = spark.createDataFrame([(1, 0, b"a"), (1, 2, b"b")], "i bigint, pos int, value binary").coalesce(1)
+    with pytest.raises(Exception, match="do not follow"):
+        bpe.assemble(rows, "i bigint", "i bigint, n int", lambda data: (len(data),)).collect()
+
+
+def test_texts_may_span_batches(spark):
+    rows = spark.range(0, 25_000, 1, 1).select((F.col("id") % 10).cast("int").alias("pos"), F.floor(F.col("id") / 10).alias("i"), F.lit(b"ab").alias("value"))
+    rows = rows.union(spark.sql("select -1 pos, 77777L i, x'' value")).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        found = bpe.assemble(rows, "i bigint", "i bigint, n int", lambda data: (None if data is None else len(data),)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.i, r.n) for r in found] == [*((i, 20) for i in range(2500)), (77777, None)]
+
+
 def test_odd_rows(odd, empty, clashing):
     rows = bpe.decode_documents(bpe.encode_documents(odd)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in rows) == sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in odd.collect())
@@ -53,12 +93,12 @@ def test_odd_rows(odd, empty, clashing):
 
 
 def test_unknown_ids_and_nulls(spark):
-    df = spark.createDataFrame([(1, bytearray(np.array([999_999_9], "<u4").tobytes())), (2, None)], "doc_id bigint, ids binary")
-    assert {r.doc_id: r.text for r in bpe.decode_documents(df).collect()} == {1: "", 2: None}
+    df = spark.createDataFrame([(1, [9_999_999, 32]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
+    assert {r.doc_id: r.text for r in bpe.decode_documents(df).collect()} == {1: PIECES[32].decode(), 2: None, 3: ""}
 
 
 def test_other_tokenizers_are_refused():
     import public_tokenizers
 
     with pytest.raises(ValueError):
-        bpe.WordTable(bpe._definition(public_tokenizers.path("word_bpe_49k.json")))
+        bpe.WordCoder(bpe._definition(public_tokenizers.path("word_bpe_49k.json")))
