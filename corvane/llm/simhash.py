@@ -62,6 +62,8 @@ COMMON = 8
 MAX_COMMON = 500_000
 #: Longer posting lists are compared in parts of so many members.
 LIST_PART = 2_000
+#: Sides of joins are broadcast up to so many bytes; beyond it both sides are shuffled.
+BROADCAST_BYTES = 48 << 20
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -285,7 +287,8 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
 
 
 def _prefixed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """(id, text_hash, fp, n, prefix) for each row: the size of its shingle set and the first of its hashes."""
+    """(id, h, fp, n, prefix) for each row: its text's 128-bit digest, fingerprint, the size of its shingle set and the
+    first of the set's hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
 
     def make():
@@ -298,13 +301,34 @@ def _prefixed(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
                 at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                 own = own[np.argsort(np.where(common[at] == own, ranks[at], 0), kind="stable")]
             prefix = own[: prefix_length(n, similarity)] if n else own
-            return row[0], row[1], fp - (1 << 64) if fp >> 63 else fp, n, prefix.tolist()
+            return row[0], row[1], _signed(fp), n, prefix.tolist()
 
         return one
 
     data = text_bytes(text_col)
-    narrow = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.xxhash64(data).alias("text_hash"), data.alias("text"))
-    return map_rows(narrow, make, f"{id_col} bigint, text_hash bigint, fp bigint, n int, prefix array<bigint>", weigh=4)
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), text_digest(text_col).alias("h"), data.alias("text"))
+    return map_rows(narrow, make, "id bigint, h binary, fp bigint, n int, prefix array<bigint>", weigh=4)
+
+
+def text_digest(text_col: str) -> Column:
+    """128 bits that tell texts apart (null counts as empty)."""
+    return F.unhex(F.md5(text_bytes(text_col)))
+
+
+def _meeting(side: DataFrame, row_bytes: int) -> DataFrame:
+    """That side of a join, marked to be broadcast if it is known to be small; else both sides are shuffled."""
+    return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
+
+
+def shared_postings(nodes: DataFrame) -> DataFrame:
+    """(key, node, n): the members of all prefixes that more than one node has. nodes: (node, n, prefix).
+
+    Counts are summed where postings are made, so a hot key costs each task one row; postings of single nodes,
+    which are most of them, are never shuffled where the keys that remain are few enough to broadcast."""
+    posted = nodes.select("node", "n", F.explode("prefix").alias("key"))
+    keys = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("key_"))
+    keys = reliable_checkpoint(keys)
+    return reliable_checkpoint(posted.join(_meeting(keys, 16), F.col("key") == F.col("key_"), "left_semi").select("key", "node", "n"))
 
 
 def _likely(met: DataFrame, similarity: float) -> DataFrame:
@@ -320,21 +344,19 @@ def _sizes_fit(x: str, y: str, similarity: float) -> Column:
     return F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6
 
 
-def pivot_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): candidates of each posting list's least node with its other members. nodes: (node, n, prefix)."""
-    posted = _prefix_postings(nodes)
-    pivots = posted.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+def pivot_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): candidates of each posting list's least node with its other members."""
+    pivots = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"))
     pivots = pivots.select(F.col("key").alias("key_"), F.col("p.node").alias("a"), F.col("p.n").alias("na"))
-    met = posted.join(pivots, F.col("key") == F.col("key_")).where((F.col("node") > F.col("a")) & _sizes_fit("n", "na", similarity))
+    met = shared.join(pivots, F.col("key") == F.col("key_")).where((F.col("node") > F.col("a")) & _sizes_fit("n", "na", similarity))
     return _likely(met.select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")), similarity)
 
 
-def other_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def other_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(a, b): candidates among all members of each posting list that roots (node, root) do not join yet."""
     named = roots.select(F.col("node").alias("node_"), "root")
-    rooted = nodes.select("node", "n", "prefix").join(named, F.col("node") == F.col("node_"), "left")
-    rooted = reliable_checkpoint(rooted.select("node", "n", "prefix", F.coalesce("root", "node").alias("root")))
-    posted = _prefix_postings(rooted, "root")
+    posted = shared.join(named, F.col("node") == F.col("node_"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    posted = reliable_checkpoint(posted)
     mixed = posted.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
     mixed = reliable_checkpoint(mixed.select(F.col("key").alias("key_"), F.ceil(F.col("c") / LIST_PART).cast("int").alias("parts")))
     kept = reliable_checkpoint(posted.join(mixed, F.col("key") == F.col("key_")).select("key", "node", "n", "root", "parts"))
@@ -345,12 +367,6 @@ def other_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFr
     return _likely(met.select("a", "b", "na", "nb"), similarity)
 
 
-def _prefix_postings(nodes: DataFrame, *more: str) -> DataFrame:
-    # Prefixes are dealt out before they are posted.
-    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return nodes.repartition(spread, "node").select("node", "n", *more, F.explode("prefix").alias("key"))
-
-
 def shingles(text: bytes, shingle: int = WORDS) -> set[bytes]:
     """Distinct shingles of a text; fewer words are one shingle, no words none."""
     words = text.lower().split()
@@ -359,54 +375,78 @@ def shingles(text: bytes, shingle: int = WORDS) -> set[bytes]:
     return {b" ".join(p) for p in zip(*(words[i:] for i in range(shingle)))}
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text hashes whose texts' shingle sets have at least that Jaccard similarity."""
+def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' shingle sets have at least that Jaccard similarity. names: (node, h).
+    Only texts of candidates are shuffled where their digests are few enough to broadcast."""
     bound_batches(docs.sparkSession)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    data = text_bytes(text_col)
-    texts = docs.select(F.xxhash64(data).alias("h"), data.alias("t")).join(wanted, F.col("h") == F.col("node"), "left_semi")
-    texts = reliable_checkpoint(texts.groupBy("h").agg(F.first("t").alias("t")))
-    side = lambda name, t: texts.select(F.col("h").alias(name + "_"), F.col("t").alias(t))
-    both = pairs.join(side("a", "x"), F.col("a") == F.col("a_")).join(side("b", "y"), F.col("b") == F.col("b_")).select("a", "b", "x", "y")
+    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
+    wanted = reliable_checkpoint(names.join(wanted, F.col("node") == F.col("w"), "left_semi").select("node", F.col("h").alias("h_")))
+    texts = docs.select(text_digest(text_col).alias("h"), text_bytes(text_col).alias("t"))
+    texts = texts.join(_meeting(wanted, 48), F.col("h") == F.col("h_")).groupBy("node").agg(F.first("t").alias("t"))
+    side = lambda name, t: texts.select(F.col("node").alias(name + "_"), F.col("t").alias(t))
+    # The larger node comes first: it is in few pairs, while the smaller one may be the pivot of many.
+    both = pairs.join(side("b", "y"), F.col("b") == F.col("b_")).join(side("a", "x"), F.col("a") == F.col("a_")).select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, one = None, set()
         for batch in batches:
             a, b, x, y = batch.columns
             keep = []
-            for i in range(batch.num_rows):
-                one, other = shingles(x[i].as_py()), shingles(y[i].as_py())
+            for i, own in enumerate(a.to_pylist()):
+                if own != node:
+                    node, one = own, shingles(x[i].as_py())
+                other = shingles(y[i].as_py())
                 shared = len(one & other)
                 keep.append(shared > 0 and shared / (len(one) + len(other) - shared) >= similarity)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
-        pa.default_memory_pool().release_unused()
+            pa.default_memory_pool().release_unused()
 
     return reliable_checkpoint(both.mapInArrow(run, "a bigint, b bigint"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group, with all its columns: the one with the smallest id (null last), then the
-    smallest text hash; of rows that agree in both, one. Texts are in a group when links join them: fingerprints
-    of at most MAX_BITS differing bits, or 5-word shingle sets of at least that Jaccard similarity."""
-    rows = reliable_checkpoint(_prefixed(docs, id_col, text_col, similarity))
-    nodes = reliable_checkpoint(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+def similar_texts(rows: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(node, h) of all distinct texts, and (node, root) of those that links join. rows: those of _prefixed."""
+    nodes = rows.groupBy("h").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # Numbers that are unique by construction stand for texts; which text has which number decides nothing.
+    nodes = reliable_checkpoint(nodes.select(F.monotonically_increasing_id().alias("node"), "*"))
+    names = reliable_checkpoint(nodes.select("node", "h", "fp"))
     # One text stands for each fingerprint; the other texts with that fingerprint link to it.
-    stands = reliable_checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("stand"), F.count("*").alias("n")))
-    same = nodes.select("node", "fp").join(stands.where("n > 1").withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).where("node <> stand").select(F.col("node").alias("a"), F.col("stand").alias("b"))
+    stands = reliable_checkpoint(names.groupBy("fp").agg(F.min("node").alias("stand"), F.count("*").alias("n")))
+    same = names.join(stands.where("n > 1").withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).where("node <> stand").select(F.col("node").alias("a"), F.col("stand").alias("b"))
     named = lambda side: stands.select(F.col("fp").alias(side + "_"), F.col("stand").alias(side + "s"))
     near = links(stands.select("fp")).join(named("a"), F.col("a") == F.col("a_")).join(named("b"), F.col("b") == F.col("b_")).select(F.col("as").alias("a"), F.col("bs").alias("b"))
-    similar = verified(pivot_pairs(nodes, similarity), docs, text_col, similarity)
-    joined = reliable_checkpoint(same.union(near).union(similar))
+    shared = shared_postings(nodes)
+    joined = reliable_checkpoint(same.union(near).union(verified(pivot_pairs(shared, similarity), names, docs, text_col, similarity)))
     roots = components(joined)
     # Pairs that the pivots have joined need no look; all others that share a list get one.
-    rest = verified(other_pairs(nodes, roots, similarity), docs, text_col, similarity)
-    if not rest.isEmpty():
-        roots = components(joined.union(rest))
-    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))
-    first = rows.groupBy("text_hash").agg(F.min(order).alias("k"))
-    first = first.join(roots, F.col("text_hash") == F.col("node"), "left").groupBy(F.coalesce("root", "text_hash").alias("r")).agg(F.min("k").alias("k"))
-    first = reliable_checkpoint(first.select(F.col("k.i").alias("__i"), F.col("k.h").alias("__h")))
-    own = docs.withColumn("__th", F.xxhash64(text_bytes(text_col)))
-    kept = own.join(first, F.col(id_col).cast("bigint").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__h")), "left_semi")
-    # Semi-joined rows repeat a key only where whole rows repeat id and text.
-    return kept.dropDuplicates([id_col, "__th"]).drop("__th")
+    rest = verified(other_pairs(shared, roots, similarity), names, docs, text_col, similarity)
+    return names.select("node", "h"), roots if rest.isEmpty() else components(joined.union(rest))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group, with all its columns: the one with the smallest id (null last), then the
+    smallest text digest; of rows that agree in both, the first by the JSON form of all their columns. Texts are in a
+    group when links join them: fingerprints of at most MAX_BITS differing bits, or 5-word shingle sets of at least
+    that Jaccard similarity.
+
+    A text that is alone stays without a look-up: only texts that have copies or go are looked up."""
+    rows = reliable_checkpoint(_prefixed(docs, id_col, text_col, similarity))
+    names, roots = similar_texts(rows, docs, text_col, similarity)
+    order = F.struct(F.col("id").isNull().alias("n"), "id", "h")
+    # Counts by id and text find rows that agree in both.
+    texts = rows.groupBy("h", "id").agg(F.count("*").alias("c")).groupBy("h").agg(F.min(order).alias("k"), F.sum("c").alias("c"), F.max("c").alias("most"))
+    texts = texts.join(names.select("node", F.col("h").alias("h_")), F.col("h") == F.col("h_")).drop("h_").join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left")
+    texts = reliable_checkpoint(texts.select("h", "k", "c", "most", F.coalesce("root", "node").alias("root")))
+    best = texts.groupBy("root").agg(F.min("k").alias("best")).withColumnRenamed("root", "root_")
+    facts = texts.join(best, F.col("root") == F.col("root_")).select(F.col("h").alias("h_"), (F.col("k") != F.col("best")).alias("goes"), F.col("k.id").alias("stays"), "c", (F.col("most") > 1).alias("again"))
+    facts = reliable_checkpoint(facts.where("goes or c > 1").drop("c"))
+    # The document travels as one value, so that none of its columns can be taken for one of these.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"), text_digest(text_col).alias("h"))
+    kept = own.join(_meeting(facts, 56), F.col("h") == F.col("h_"), "left").where(F.col("h_").isNull() | (~F.col("goes") & F.col("id").eqNullSafe(F.col("stays"))))
+    again = F.coalesce("again", F.lit(False))
+    out = kept.where(~again).select("row")
+    if not facts.where("again and not goes").isEmpty():
+        once = kept.where(again).groupBy("h", "id").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.union(once.select("row"))
+    return out.select("row.*")
