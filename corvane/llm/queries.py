@@ -41,11 +41,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..runtime import reliable_checkpoint
     from .mixing import apply_mix, plan_mix, with_draws
 
-    drawn = with_draws(documents(spark, sf_dir)).select("__id", "__source", "__size", "__u")
-    drawn = reliable_checkpoint(drawn)
+    drawn = reliable_checkpoint(with_draws(documents(spark, sf_dir)).drop("row"))
     facts, small = plan_mix(drawn)
-    mixed = apply_mix(drawn, facts, small)
-    return mixed.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"))
+    return apply_mix(drawn, facts, small).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,19 +112,26 @@ ORACLES: dict[str, str] = {
         s3 as (select source, source_size, round(least(cap, w * max(lev) over ()), 6) target from s2),
         s4 as (select *, case when source_size > 0 then cast(least(floor(target / source_size), 3) as bigint) else 0 end base from s3),
         s5 as (select *, case when base < 3 then greatest(target - base * source_size, 0) else 0 end remaining from s4),
-        s6 as (select *, case when source_size > 0 then remaining / source_size else 0 end p from s5),
-        r as (select d.*, s6.* exclude (source), case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end q from d join s6 on d.source is not distinct from s6.source),
-        c as (select *, case when q is not null then sum(size) over (partition by source, q is null order by q, doc_id range between unbounded preceding and current row) end run from r),
-        f as (select *, coalesce(run <= remaining, false) inside from c),
-        g as (select source, bool_or(q is not null and not inside) cut, max(remaining) - coalesce(max(run) filter (where inside), 0) missing from f group by source),
-        b as (select f.source, f.q, f.doc_id, f.inside, f.size, case when g.cut then g.missing else 0 end missing,
+        z as (select d.source, size, count(*) n, any_value(remaining) remaining from d join s5 on d.source is not distinct from s5.source where size > 0 and remaining > 0 group by d.source, size),
+        k as (select *, coalesce(sum(n) over larger, 0) n0, coalesce(sum(n * size) over larger, 0) w0, sum(n * size) over every w1, coalesce(sum(n * size * size) over larger, 0) q0, sum(n * size * size) over every q1 from z
+            window larger as (partition by source order by size desc rows between unbounded preceding and 1 preceding), every as (partition by source)),
+        k2 as (select *, (remaining - cast(w0 as double)) / cast(q1 - q0 as double) rate from k),
+        s6 as (select source, rate, cast(round(cast(n0 as double) + rate * cast(w1 - w0 as double)) as bigint) wanted from k2 where rate * size <= 1 qualify row_number() over (partition by source order by size desc) = 1),
+        r as (select d.*, s5.* exclude (source), s6.wanted, rate * size p from d join s5 on d.source is not distinct from s5.source left join s6 on d.source is not distinct from s6.source),
+        r2 as (select *, case when p >= 1 then 0 when p > 0 then (u / (1 - u)) / (p / (1 - p)) end q from r),
+        f as (select *, q is not null and row_number() over (partition by source, q is null order by q, doc_id) <= wanted inside from r2),
+        g as (select source, max(remaining) - coalesce(sum(size) filter (where inside), 0) missing from f group by source),
+        b as (select f.source, f.q, f.doc_id, f.inside, f.size, g.missing, f.wanted,
             row_number() over (partition by f.source, f.inside order by case when f.inside then -f.q else f.q end, case when f.inside then -f.doc_id else f.doc_id end) n
-            from f join g on f.source is not distinct from g.source where f.q is not null),
-        near as (select source, q, doc_id, missing, case when inside then -size else size end change from b where n <= 24),
-        options as (select source, abs(missing) gap, 0 n, cast(null as double) q1, cast(null as bigint) i1, cast(null as double) q2, cast(null as bigint) i2 from (select distinct source, missing from near)
-            union all select source, abs(missing - change), 1, q, doc_id, null, null from near
-            union all select x.source, abs(x.missing - (x.change + y.change)), 2, x.q, x.doc_id, y.q, y.doc_id from near x join near y on x.source is not distinct from y.source and (x.q, x.doc_id) < (y.q, y.doc_id)),
-        a as (select * from options qualify row_number() over (partition by source order by gap, n, q1, i1, q2, i2) = 1)
-        select f.doc_id, f.size, f.source_size, f.target, cast((f.base + case when f.inside <> coalesce(f.q = a.q1 and f.doc_id = a.i1 or coalesce(f.q = a.q2 and f.doc_id = a.i2, false), false) then 1 else 0 end) * f.size as bigint) taken
+            from f join g on f.source is not distinct from g.source where f.q > 0 and f.wanted > 0),
+        near as (select source, any_value(missing) missing, list({'size': size, 'q': q, 'id': doc_id} order by size, q, doc_id) filter (where inside) i, list({'size': size, 'q': q, 'id': doc_id} order by size, q, doc_id) filter (where not inside) o
+            from b where n <= greatest(2, least(24, ceil(wanted / 2.0))) group by source having count(*) filter (where inside) > 0 and count(*) filter (where not inside) > 0),
+        n1 as (select source, missing, case when missing < 0 then list_reverse(i) else i end x, case when missing < 0 then o else list_reverse(o) end y from near),
+        n2 as (select *, [y[j].size - x[j].size for j in range(1, least(len(x), len(y)) + 1)] gains from n1),
+        n3 as (select *, list_sort([{'gap': abs(missing - coalesce(list_sum(gains[1:k]), 0)), 'k': k, 'words': coalesce(list_sum(gains[1:k]), 0)} for k in range(0, len(gains) + 1)])[1] many from n2),
+        n4 as (select source, many.k k, missing - many.words missing, x, y from n3),
+        n5 as (select *, list_sort(flatten([[{'gap': abs(missing - (v.size - u.size)), 'q1': u.q, 'i1': u.id, 'q2': v.q, 'i2': v.id} for v in y[k + 1:]] for u in x[k + 1:]]))[1] pair from n4),
+        a as (select source, list_concat([{'q': z.q, 'id': z.id} for z in list_concat(x[1:k], y[1:k])], case when pair.gap < abs(missing) then [{'q': pair.q1, 'id': pair.i1}, {'q': pair.q2, 'id': pair.i2}] else [] end) trade from n5)
+        select f.doc_id, f.size, f.source_size, f.target, cast((f.base + case when f.inside <> coalesce(list_contains(a.trade, {'q': f.q, 'id': f.doc_id}), false) then 1 else 0 end) * f.size as bigint) taken
         from f left join a on f.source is not distinct from a.source""",
 }

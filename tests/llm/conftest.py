@@ -37,7 +37,7 @@ def clashing(odd):
     """Extra columns named like columns that operators make."""
     from pyspark.sql import functions as F
 
-    names = ("text_hash", "fp", "size", "unit", "run", "copy", "media", "spans", "ids", "target", "source_size", "key", "e", "t", "i", "data", "score", "node", "root", "n_bytes", "x", "copies", "change", "near", "w", "level", "shard", "slot", "toxic", "p", "a", "b", "n", "k")
+    names = ("text_hash", "fp", "size", "unit", "run", "copy", "media", "spans", "ids", "target", "source_size", "key", "e", "t", "i", "data", "score", "node", "root", "n_bytes", "x", "copies", "change", "near", "w", "level", "shard", "slot", "toxic", "p", "a", "b", "n", "k", "row", "h", "h_", "id", "u", "q", "bin", "goes", "again", "stays", "__i", "__h", "__p", "__id", "__size", "__th", "__source")
     return odd.select("*", *[F.lit("clash").alias(n) for n in names])
 
 

@@ -31,7 +31,7 @@ def targets(sizes, weights=(5, 2, 1), most=3):
 
 
 def run(df):
-    rows = reliable_checkpoint(mixing.with_draws(df).select("__id", "__source", "__size", "__u"))
+    rows = reliable_checkpoint(mixing.with_draws(df).drop("row"))
     facts, small = mixing.plan_mix(rows)
     return mixing.apply_mix(rows, facts, small).collect()
 
@@ -39,16 +39,16 @@ def run(df):
 def check(rows, slack):
     sizes = Counter()
     for r in rows:
-        sizes[r["__source"]] += r["__size"]
+        sizes[r["source"]] += r["size"]
     want = targets(sizes)
     taken = Counter()
     for r in rows:
-        taken[r["__source"]] += r.copies * r["__size"]
-        assert r.source_size == sizes[r["__source"]]
-        assert r.target == pytest.approx(want[r["__source"]], abs=1e-5)
+        taken[r["source"]] += r.copies * r["size"]
+        assert r.source_size == sizes[r["source"]]
+        assert r.target == pytest.approx(want[r["source"]], abs=1e-5)
         assert 0 <= r.copies <= 3
     for s, t in want.items():
-        assert abs(taken[s] - t) <= max([0, *(r["__size"] for r in rows if r["__source"] == s)]) * slack + 1e-6
+        assert abs(taken[s] - t) <= max([0, *(r["size"] for r in rows if r["source"] == s)]) * slack + 1e-6
     return {s: (taken[s], want[s]) for s in want}
 
 
@@ -61,31 +61,67 @@ def test_query(spark, sf_dir, few):
     assert {r.doc_id: r.taken for r in rows} == {r.doc_id: r.taken for r in again}
 
 
-@pytest.mark.parametrize(("bins", "broadcast"), [(1, 50_000), (7, 50_000), (4096, 0)])
+def odds(sizes, left):
+    """Inclusion probabilities in proportion to size, at most 1, whose expected words are those left, by bisection."""
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        rate = (low + high) / 2
+        low, high = (rate, high) if sum(min(1, rate * s) * s for s in sizes) < left else (low, rate)
+    return [min(1.0, high * s) for s in sizes]
+
+
+@pytest.mark.parametrize(("bins", "broadcast"), [(1, 1 << 24), (7, 1 << 24), (4096, 0)])
 def test_targets_are_met_however_rows_are_binned(spark, monkeypatch, bins, broadcast):
     """A source of a third of all rows, a tiny capped one, one without words, and null."""
     monkeypatch.setattr(mixing, "BINS", bins)
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", broadcast)
     source = F.expr("case when id % 3 = 0 then 'hot' when id % 3 = 1 then concat('s', id % 5) when id % 60 = 2 then null when id = 5 then 'tiny' else 'plain' end")
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 == 0, "").otherwise(F.repeat(F.lit("w "), (F.col("id") * 37 % 50).cast("int"))).alias("text"), source.alias("source"))
     df = df.union(spark.createDataFrame([(9000 + i, " ", "blank") for i in range(3)], "doc_id bigint, text string, source string"))
-    found = check(run(df), slack=0.2)
-    assert all(abs(t - got) <= 3 for got, t in found.values() if t > 500)
-
-
-def test_copies_follow_the_odds(spark):
-    """Over many seeds each document is sampled about as often as its inclusion odds say."""
-    df = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") < 20, "a").otherwise("b").alias("source"))
-    taken = Counter()
-    for seed in range(25):
-        params = mixing.MixParams(seed=seed)
-        rows = reliable_checkpoint(mixing.with_draws(df, params).select("__id", "__source", "__size", "__u"))
-        facts, small = mixing.plan_mix(rows, params)
-        for r in mixing.apply_mix(rows, facts, small).collect():
-            taken[r["__id"]] += r.copies
-    # Targets are 5/7 and 2/7 of 160 words: 28.6 and 11.4 copies of 20 documents.
-    assert sum(taken[i] for i in range(20)) / 25 == pytest.approx(28, abs=1)
-    assert all(25 <= taken[i] <= 50 for i in range(20)) and min(taken[i] for i in range(20, 40)) >= 5
+    rows = run(df)
+    found = check(rows, slack=1.0)
+    assert all(abs(t - got) <= 0.002 * t + 3 for got, t in found.values() if t > 500)
+    taken = sorted((r.id, r.copies) for r in rows)
+    # Neither bins nor the kind of join decide anything.
+    monkeypatch.undo()
+    assert taken == sorted((r.id, r.copies) for r in run(df))
+
+
+def test_documents_are_drawn_at_their_own_rates(spark):
+    """Many sources of the same eleven sizes, four documents of each: each size is drawn about as often as its inclusion probability says, and each
+    source draws the number of documents that was fixed before."""
+    sizes, sources = [2, 3, 5, 8, 13, 21, 34, 40, 55, 60, 90] * 4, 180
+    names = [f"s{i:04d}" for i in range(sources)]
+    docs = [(i * 100 + k, "w " * s, n) for i, n in enumerate(names) for k, s in enumerate(sizes)]
+    rows = run(spark.createDataFrame(docs, "doc_id bigint, text string, source string"))
+    want = targets({n: sum(sizes) for n in names})
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r.source, []).append(r)
+    for weight in range(3):
+        mine = names[weight::3]
+        whole, left = divmod(want[mine[0]], sum(sizes))
+        p = odds(sizes, left)
+        drawn = Counter()
+        for n in mine:
+            extra = [r for r in by_source[n] if r.copies > whole]
+            assert {r.copies for r in by_source[n]} <= {int(whole), int(whole) + 1} and len(extra) == round(sum(p))
+            drawn.update(r["size"] for r in extra)
+        p, rates = p[:11], [drawn[s] / len(mine) / 4 for s in sizes[:11]]
+        assert all(abs(a - b) <= 0.15 for a, b in zip(rates, p)), (rates, p)
+        assert rates[-1] - rates[0] > 0.2 and all(r == 1 for r, x in zip(rates, p) if x == 1)
+
+
+def test_the_rate_is_solved_exactly(spark):
+    """Some documents are certain, and expected words are those left."""
+    for sizes in ([1, 1, 1, 500], [10] * 8, [1, 2, 4, 8, 16, 32, 64, 128], [7]):
+        rows = spark.createDataFrame([(i, "a", s) for i, s in enumerate(sizes)], "id bigint, source string, size bigint")
+        for share in (0.1, 0.5, 0.97):
+            left = share * sum(sizes)
+            facts = spark.createDataFrame([("a", left)], "source string, left double")
+            found = mixing._inclusion(rows, facts).first()
+            p = [min(1.0, found.rate * s) for s in sizes]
+            assert p == pytest.approx(odds(sizes, left), abs=1e-9) and found.wanted in (round(sum(p) - 1e-9), round(sum(p) + 1e-9))
 
 
 def test_odd_rows(spark, odd, empty, clashing):
