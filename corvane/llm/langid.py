@@ -8,9 +8,9 @@ Training back-propagates through the pooled places only; the filters are tables
 applying them is gathering rows, two bytes at once.
 
 Training rows: documents with a language and a letter whose CRC-32 of the id as text is not 1 modulo 3; of
-each of at most MAX_LANGS most frequent languages about DOCS_PER_LANG documents by a hash of the id, and of each up to
-SLICES windows spread over the text. Only text and lang are read. All documents are predicted, over whole
-texts.
+each language about DOCS_PER_LANG documents by a hash of id and text, repeated rows once (fewer where there are so many languages that all would have
+more than TRAIN_DOCS, but one at least), and of those all windows. A long document's windows weigh together as much
+as four of a short one's. Only text and lang are read. All documents are predicted, over whole texts.
 
 Edge cases: texts that are null or have no letter are 'und' with score 0, and so is everything when there
 is nothing to learn from; a null id is neither held out nor trained on; equal texts get equal results; repeated rows and
@@ -26,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 WINDOW = 256
 STRIDE = WINDOW - max(WIDTHS) + 1
 BLOCK = 512
-DOCS_PER_LANG = 800
-TRAIN_DOCS = 80_000
-SLICES = 3
+#: The bounded sample: labelled documents of each language, and of all languages together.
+DOCS_PER_LANG = 400
+TRAIN_DOCS = 40_000
 EPOCHS = 12
 BATCH = 64
 RATE = 0.01
@@ -81,11 +82,12 @@ class ByteNet:
         pooled = np.concatenate([got.max(axis=1) for _, got in self._gathered(windows)], axis=1)
         return self._softmax(np.maximum(pooled + self.bias, 0))
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> None:
-        """Adam on cross-entropy, languages weighted to count alike."""
+    def train(self, windows: np.ndarray, labels: np.ndarray, shares: np.ndarray | None = None, epochs: int = EPOCHS) -> None:
+        """Adam on cross-entropy, weighted by each window's share so that languages count alike."""
         draw = np.random.default_rng(SEED + 1)
-        weight = 1 / np.maximum(np.bincount(labels, minlength=len(self.languages)), 1)
-        weight = (weight / weight[labels].mean()).astype(np.float32)
+        shares = np.ones(len(labels)) if shares is None else shares
+        weight = shares / np.maximum(np.bincount(labels, shares, minlength=len(self.languages)), 1e-12)[labels]
+        weight = (weight / weight.mean()).astype(np.float32)
         params = [*(self.tables[w] for w in WIDTHS), self.bias, self.out, self.out_bias]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for epoch in range(epochs):
@@ -104,7 +106,7 @@ class ByteNet:
                 hidden = np.maximum(raw, 0)
                 slope = self._softmax(hidden)
                 slope[np.arange(len(y)), y] -= 1
-                slope *= (weight[y] / len(y))[:, None]
+                slope *= (weight[rows] / len(y))[:, None]
                 back = (slope @ self.out.T) * (raw > 0)
                 grads = []
                 for k, w in enumerate(WIDTHS):
@@ -145,7 +147,7 @@ def remainder(id_col: str) -> Column:
 def train_net(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> ByteNet | None:
     usable = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     usable = usable.where(F.col("lang").isNotNull() & (remainder("id") != 1))
-    usable = usable.withColumn("u", F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    usable = usable.withColumn("u", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     found = usable.groupBy("lang").agg(F.count("*").alias("count"), F.min(F.when(_has_letter("text"), F.col("u"))).alias("least")).collect()
     if not found:
         return None
@@ -154,25 +156,22 @@ def train_net(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     # The first row by hash is always taken, so that no language is without one.
     usable = usable.join(F.broadcast(shares), F.col("lang") == F.col("l"))
     chosen = usable.where(((F.col("u") < F.col("share")) | (F.col("u") == F.col("least"))) & _has_letter("text")).withColumn("data", _data("text"))
-    size = F.octet_length("data")
-    starts = [F.floor(F.greatest(size - WINDOW, F.lit(0)) * (i / max(1, SLICES - 1))).cast("int") + 1 for i in range(SLICES)]
-    slices = F.array_distinct(F.array(*[F.substring(F.col("data"), s, F.lit(WINDOW)) for s in starts]))
-    table = chosen.select("id", "lang", slices.alias("slices")).toPandas()
+    table = chosen.select("id", "lang", "data").distinct().toPandas()
     languages = sorted(set(table["lang"]))
     if not languages:
         return None
-    rows = sorted((i, l, bytes(s)) for i, l, many in zip(table["id"], table["lang"], table["slices"]) for s in many)
-    windows = np.zeros((len(rows), WINDOW), np.uint8)
-    for r, (_, _, s) in enumerate(rows):
-        windows[r, : len(s)] = np.frombuffer(s, np.uint8)
-    net = ByteNet(languages)
     places = {l: i for i, l in enumerate(languages)}
-    net.train(windows, np.array([places[l] for _, l, _ in rows]))
+    texts = sorted(zip(table["id"].tolist(), table["lang"], map(bytes, table["data"])))
+    parts = [windows_of(data) for _, _, data in texts]
+    counts = np.array([len(p) for p in parts])
+    net = ByteNet(languages)
+    net.train(np.concatenate(parts), np.repeat([places[l] for _, l, _ in texts], counts), np.repeat(np.minimum(1.0, 4.0 / counts), counts))
     return net
 
 
 def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, lang_pred, score) for each row."""
+    bound_batches(docs.sparkSession)
     held = F.coalesce(remainder(id_col) == 1, F.lit(False))
     if net is None:
         return docs.select(F.col(id_col).cast("bigint").alias(id_col), held.alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))

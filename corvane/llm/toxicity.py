@@ -8,9 +8,9 @@ texts allow. The categories are what the label table has: low_quality (quality =
 Features of a text: for each selected term the logarithm of one plus the number of its words that have the
 term (a term is a word or a run of 4 to 6 letters of one, word ends marked), and the shares of
 capitals, digits and signs, its length and how often its words repeat. Terms are selected by the z-score of their
-document frequencies in positive against other training rows.
+document frequencies in positive against other training rows; models of a fold use terms selected without that fold's rows.
 
-Training uses at most MAX_TRAIN labelled rows, chosen by a hash of the id; everything is scored.
+Training uses at most MAX_TRAIN labelled rows, chosen by a hash of the id and the text; everything is scored.
 
 Edge cases: a null text counts as empty; labels that are null in any category, and labels without a document, train nothing; of
 repeated label rows the largest values hold; without any positive or negative training row a category's
@@ -151,49 +151,53 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(best[len(best) // 2]) if y.any() else THRESHOLD
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray, columns: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """Each category's weights, and out-of-fold probabilities. x: rows of terms and shapes; y: a column for each
-    category; folds: each row's fold number."""
-    out, known, n = [], x, x.shape[1]
+    category; folds: each row's fold number; columns: those of x that each fold's models see, and last those of the
+    final models (all by default)."""
+    columns = columns or [np.arange(x.shape[1])] * (FOLDS + 1)
+    out, known = [], np.zeros((len(x), 0), x.dtype)
     for c in range(y.shape[1]):
         target = y[:, c].astype(np.float64)
-        out.append(fit_logistic(known, target))
+        out.append(fit_logistic(np.concatenate([x[:, columns[-1]], known], axis=1), target))
         unseen = np.zeros(len(x))
         for f in range(FOLDS):
             held = folds == f
             if held.any() and not held.all():
-                unseen[held] = _predict(known[held], fit_logistic(known[~held], target[~held]))
+                seen = np.concatenate([x[:, columns[f]], known], axis=1)
+                unseen[held] = _predict(seen[held], fit_logistic(seen[~held], target[~held]))
         known = np.concatenate([known, unseen[:, None].astype(x.dtype)], axis=1)
-    return out, known[:, n:]
+    return out, known
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """(id, text, y): at most max_train rows; the chosen ids alone are broadcast."""
+    """(id, text, y, fold): at most max_train rows, also where ids repeat; of equal rows one."""
     categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     y = F.array(*[categories[c].cast("int") for c in CATEGORIES])
     chosen = known.select(F.col("doc_id").alias("key"), y.alias("y")).orderBy(F.xxhash64("key"), "key").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), text_or_empty().alias("text"))
-    # At most max_train rows of an id and two flags.
-    return texts.join(F.broadcast(chosen), F.col("id") == F.col("key")).select("id", "text", "y")
+    # At most max_train rows of an id and two flags are broadcast.
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("key")).select("id", "text", "y").distinct()
+    return rows.orderBy(F.xxhash64("id", "text"), "id").limit(max_train).withColumn("fold", F.pmod(F.xxhash64(F.col("id") + 1), F.lit(FOLDS)).cast("int"))
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:
-    """(term, n, pos): in how many rows, and in how many positive ones of each category, a term occurs."""
+    """(term, fold, n, pos...): in how many rows, and in how many positive ones of each category, a term occurs."""
     k = len(CATEGORIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
+        counts: dict[tuple[str, int], list[int]] = {}
 
         def out():
             items = list(counts.items())
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in items], pa.string()), *[pa.array([c[i] for _, c in items], pa.int64()) for i in range(k + 1)]], names=["term", "n", *[f"pos{i}" for i in range(k)]])
+            return pa.RecordBatch.from_arrays([pa.array([t for (t, _), _ in items], pa.string()), pa.array([f for (_, f), _ in items], pa.int32()), *[pa.array([c[i] for _, c in items], pa.int64()) for i in range(k + 1)]], names=["term", "fold", "n", *[f"pos{i}" for i in range(k)]])
 
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, y, fold in zip(*(c.to_pylist() for c in batch.columns)):
                 for term in set().union(*map(terms_of, set(_WORDS.findall(text.lower())))):
-                    c = counts.setdefault(term, [0] * (k + 1))
+                    c = counts.setdefault((term, fold), [0] * (k + 1))
                     c[0] += 1
                     for i, v in enumerate(y):
                         c[i + 1] += v
@@ -201,46 +205,54 @@ def _term_counts(rows: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    schema = "term string, n bigint, " + ", ".join(f"pos{i} bigint" for i in range(k))
-    counted = rows.select("text", "y").mapInArrow(run, schema)
-    return counted.groupBy("term").agg(F.sum("n").alias("n"), *[F.sum(f"pos{i}").alias(f"pos{i}") for i in range(k)])
+    sums = ["n", *[f"pos{i}" for i in range(k)]]
+    counted = rows.select("text", "y", "fold").mapInArrow(run, "term string, fold int, " + ", ".join(f"{c} bigint" for c in sums))
+    return counted.groupBy("term", "fold").agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def _select_terms(counts: DataFrame, totals: list[int], rows: int) -> list[str]:
-    """Terms with the highest z-scores of any category."""
+def _select_terms(counts: DataFrame, totals: list[dict], held: int | None) -> list[str]:
+    """Terms with the highest z-scores of any category in the rows outside the held fold. totals: n and pos... by fold."""
+    total = {c: sum(t[c] for t in totals if t["fold"] != held) for c in ("n", *[f"pos{i}" for i in range(len(CATEGORIES))])}
+    rows = total["n"]
+    sums = counts.where(F.lit(True) if held is None else F.col("fold") != held).groupBy("term").agg(*[F.sum(c).alias(c) for c in total])
     score = F.lit(0.0)
-    for i, total in enumerate(totals):
-        if 0 < total < rows:
+    for i in range(len(CATEGORIES)):
+        of = total[f"pos{i}"]
+        if 0 < of < rows:
             pos, neg = F.col(f"pos{i}"), F.col("n") - F.col(f"pos{i}")
             mean = F.col("n") / rows
-            z = (pos / total - neg / (rows - total)) / F.sqrt(mean * (1 - mean) * (1 / total + 1 / (rows - total)) + 1e-12)
+            z = (pos / of - neg / (rows - of)) / F.sqrt(mean * (1 - mean) * (1 / of + 1 / (rows - of)) + 1e-12)
             score = F.greatest(score, z)
-    best = counts.where(F.col("n") >= MIN_DOCS).select("term", score.alias("z")).where(F.col("z") >= MIN_Z)
+    best = sums.where(F.col("n") >= MIN_DOCS).select("term", score.alias("z")).where(F.col("z") >= MIN_Z)
     return [r.term for r in best.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()]
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain:
+    bound_batches(docs.sparkSession)
     rows = reliable_checkpoint(_training_rows(docs, labels, max_train))
-    sums = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.get("y", i)), F.lit(0)).alias(f"s{i}") for i in range(len(CATEGORIES))]).first()
-    totals = [sums[f"s{i}"] for i in range(len(CATEGORIES))]
-    chain = Chain(CATEGORIES, {t: i for i, t in enumerate(_select_terms(_term_counts(rows), totals, sums.n))})
+    totals = [r.asDict() for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.get("y", i)).alias(f"pos{i}") for i in range(len(CATEGORIES))]).collect()]
+    counts = reliable_checkpoint(_term_counts(rows))
+    chosen = [_select_terms(counts, totals, f) for f in (*range(FOLDS), None)]
+    # The final models' terms come first; the others are only needed by the folds' models.
+    every = {t: i for i, t in enumerate(dict.fromkeys(chosen[-1] + [t for some in chosen for t in some]))}
+    wide, chain = Chain(CATEGORIES, every), Chain(CATEGORIES, {t: i for i, t in enumerate(chosen[-1])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [chain.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([list(c) for c, _ in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float64())), batch.column("y")], names=["id", "at", "counts", "shape", "y"])
+            found = [wide.features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([list(c) for c, _ in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float64())), batch.column("y"), batch.column("fold")], names=["id", "at", "counts", "shape", "y", "fold"])
 
-    table = rows.mapInArrow(run, "id bigint, at array<int>, counts array<int>, shape array<double>, y array<int>").toPandas()
+    table = rows.mapInArrow(run, "id bigint, at array<int>, counts array<int>, shape array<double>, y array<int>, fold int").toPandas()
     # Ties of repeated ids are broken by content, so that the fit does not depend on the order of partitions.
     table["tie"] = [(tuple(sorted(zip(a, c))), tuple(s)) for a, c, s in zip(table["at"], table["counts"], table["shape"])]
     table = table.sort_values(["id", "tie"]).reset_index(drop=True)
-    x = np.zeros((len(table), len(chain.terms) + SHAPES), np.float32)
-    for r, (at, counts, shape) in enumerate(zip(table["at"], table["counts"], table["shape"])):
-        x[r, np.asarray(at, np.int64)] = np.log1p(np.asarray(counts, np.float64))
-        x[r, len(chain.terms) :] = shape
+    x = np.zeros((len(table), len(every) + SHAPES), np.float32)
+    for r, (at, counts_, shape) in enumerate(zip(table["at"], table["counts"], table["shape"])):
+        x[r, np.asarray(at, np.int64)] = np.log1p(np.asarray(counts_, np.float64))
+        x[r, len(every) :] = shape
     y = np.array([list(v) for v in table["y"]], np.int8).reshape(len(table), len(CATEGORIES))
-    folds = (table["id"].to_numpy(np.int64) * 2654435761 >> 8) % FOLDS if len(table) else np.zeros(0, np.int64)
-    chain.weights, unseen = fit_chain(x, y, folds)
+    columns = [np.array([every[t] for t in some] + list(range(len(every), len(every) + SHAPES)), np.int64) for some in chosen]
+    chain.weights, unseen = fit_chain(x, y, table["fold"].to_numpy(np.int64), columns)
     chain.threshold = best_threshold(unseen[:, -1], y[:, -1] == 1)
     return chain
 
@@ -260,7 +272,6 @@ def score_column(chain: Chain, text_col: str = "text") -> Column:
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float | None = None) -> DataFrame:
     """(doc_id, p_<category> ..., toxic) for each row; the threshold is the one with the best F1 over
     out-of-fold predictions unless given."""
-    bound_batches(docs.sparkSession)
     chain = train_chain(docs, labels, max_train)
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), score_column(chain).alias("p"))
     scored = scored.select("doc_id", *[F.get("p", i).alias(f"p_{c}") for i, c in enumerate(CATEGORIES)])
@@ -269,6 +280,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, thr
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float | None = None) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    bound_batches(docs.sparkSession)
     chain = train_chain(docs, labels, max_train)
-    return docs.withColumn("__p", score_column(chain)).where(F.get("__p", CATEGORIES.index("toxic")) < (chain.threshold if threshold is None else threshold)).drop("__p")
+    # The document travels as one value, so that none of its columns can be taken for the score.
+    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score_column(chain).alias("p"))
+    return scored.where(F.get("p", CATEGORIES.index("toxic")) < (chain.threshold if threshold is None else threshold)).select("row.*")

@@ -80,10 +80,46 @@ def test_toxicity_odd_rows(spark, odd, empty, clashing):
     assert toxicity.drop_toxic(empty, labels).columns == empty.columns
 
 
-def test_toxicity_query(spark, sf_dir):
+def test_training_rows_are_bounded(spark):
+    """Repeated ids count as rows, equal rows once."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(40)] + [(2, "same")] * 40, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id bigint, quality int, toxic int")
+    assert toxicity._training_rows(docs, labels, 2).count() <= 2
+    assert toxicity._training_rows(docs, labels, 100).count() == 41
+
+
+def test_terms_of_a_fold_are_selected_without_it(spark):
+    counts = spark.createDataFrame([("held", 0, 50, 0, 50), ("held", 1, 50, 0, 0), ("held", 2, 50, 0, 0), ("both", 0, 30, 0, 30), ("both", 1, 30, 0, 30), ("both", 2, 30, 0, 30)], "term string, fold int, n bigint, pos0 bigint, pos1 bigint")
+    totals = [{"fold": f, "n": 200, "pos0": 0, "pos1": 60} for f in range(3)]
+    assert set(toxicity._select_terms(counts, totals, 1)) == {"held", "both"}
+    assert toxicity._select_terms(counts, totals, 0) == ["both"]
+
+
+def brute_probabilities(chain, text):
+    """The chain, model by model, from terms counted one by one."""
+    words = toxicity._WORDS.findall(text.lower())
+    x = np.zeros(len(chain.terms))
+    for term, i in chain.terms.items():
+        x[i] = sum(term in {f"^{w}$", *(f"^{w}$"[a : a + k] for k in (4, 5, 6) for a in range(len(w) + 3 - k))} for w in words)
+    row = [*np.log1p(x), *toxicity.shape_of(text, words, len(set(words)))]
+    for w in chain.weights:
+        row.append(1 / (1 + np.exp(-(np.dot(row, w[:-1]) + w[-1]))))
+    return row[-len(chain.weights) :]
+
+
+def test_toxicity_query_against_brute_force(spark, sf_dir, few):
+    from corvane.llm.common import labels
+
+    df, texts = few
     rows = op2_toxicity(spark, sf_dir)
     assert rows.columns == ["doc_id", "p_low_quality", "p_toxic", "toxic"]
-    assert rows.count() == 200 and rows.where("p_toxic not between 0 and 1 or toxic is null").count() == 0
+    rows = rows.collect()
+    chain = toxicity.train_chain(df, labels(spark, sf_dir))
+    assert len(rows) == 200 and len(chain.weights) == 2 and len(chain.weights[1]) == len(chain.weights[0]) + 1
+    for r in rows[::4]:
+        p = brute_probabilities(chain, texts[r.doc_id] or "")
+        assert (r.p_low_quality, r.p_toxic) == pytest.approx(p, abs=1e-6)
+    assert all(r.toxic == (r.p_toxic >= chain.threshold) for r in rows)
 
 
 def test_gradients():
@@ -128,6 +164,32 @@ def test_language_query(spark, sf_dir, few):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.9
 
 
+def test_language_query_against_brute_force(spark, few):
+    """Every window of every text by direct convolution, filter by filter."""
+    df, texts = few
+    net = langid.train_net(df)
+    rows = langid.predict(df, net).collect()
+    for r in sorted(rows)[::5]:
+        data = (texts[r.doc_id] or "").lower().encode()
+        if r.lang_pred == "und":
+            continue
+        total, weight = np.zeros(len(net.languages)), 0.0
+        for at in range(0, max(1, len(data) - langid.WINDOW + langid.STRIDE), langid.STRIDE):
+            window = np.frombuffer(data[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0"), np.uint8)
+            pooled = np.concatenate([np.max([sum(net.tables[w][j][window[i + j]] for j in range(w)) for i in range(langid.WINDOW - w + 1)], axis=0) for w in langid.WIDTHS])
+            z = np.maximum(pooled + net.bias, 0) @ net.out + net.out_bias
+            share = min(len(data) - at, langid.WINDOW) / langid.WINDOW
+            total += share * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            weight += share
+        assert r.score == pytest.approx(total.max() / weight, abs=1e-4) and r.lang_pred == net.languages[int(total.argmax())]
+
+
+def test_repeated_rows_train_once(spark):
+    df = spark.createDataFrame([(i, "aaa bbb" if i % 2 else "ccc ddd", "x" if i % 2 else "y") for i in (0, 2, 3, 5) for _ in range(30)], "doc_id bigint, text string, lang string")
+    one, other = langid.train_net(df), langid.train_net(df.distinct())
+    assert (one is None) == (other is None) and (one is None or np.array_equal(one.out, other.out))
+
+
 def test_language_odd_rows(spark, odd, empty, clashing):
     rows = langid.identify(odd).collect()
     assert len(rows) == odd.count()
