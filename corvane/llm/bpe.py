@@ -1,19 +1,18 @@
 """Byte-level BPE through one table of distinct words, and back through an id-to-piece table.
 
-Texts are split into words by the byte-level pre-tokenizer's pattern in the JVM. Texts with characters outside
-PLAIN, whose classes libraries disagree on in places, and texts that hold an added token's string (which is a
-word and an id of its own) are split by the tokenizer's own pre-tokenizer. Words are counted with partial
-counts where texts are read, so that only distinct words are shuffled, and each distinct word of the corpus is encoded
-once, by the tokenizer's own merge model: that is the word table (word, ids, n).
+Texts are read in blocks (Arrow batches) and split into words by the byte-level pre-tokenizer's pattern (after the strings of
+added tokens are cut out, which are words and ids of their own); a text with characters outside PLAIN, whose classes libraries
+disagree on in places, is split by the tokenizer's own pre-tokenizer. A block becomes its distinct words and, for
+every position of its texts, a number into them. Distinct words of all blocks are counted, and those in
+more than one block are encoded once, by the tokenizer's own merge model: that is the word table (word, ids, n).
 
-A document's ids are its words' table rows joined in the order of their positions. The rows of a text follow each
-other in one task before and after a broadcast join, so they are put together there without a shuffle. The
-table is broadcast while it is known to hold at most BROADCAST_BYTES. Beyond that its most frequent words are, up to that size;
-occurrences of the other words meet the rest of the table in a shuffle by word, once for each distinct text, and
-come back to their texts as patches in order of position.
+The distinct words of each block are joined with the table and put back by position. Rows of a block
+follow each other in one task before and after a broadcast join, so nothing but distinct words is ever shuffled. A word that
+only one block has is encoded there, which is once as well. The table holds at most BROADCAST_BYTES: beyond that
+the most frequent words are in it, and a rarer word is encoded in each block that has it.
 
-Decoding joins ids with the pieces of the vocabulary (one row for each id, at most some 50,000) in order of position
-and reads the joined bytes as UTF-8.
+Decoding goes the same way: the distinct ids of each block of texts are joined with the pieces of the vocabulary (one
+row for each id, at most some 50,000) and put back by position, and the joined bytes are read as UTF-8.
 
 Edge cases: a null text counts as empty and has no tokens; null ids and repeated rows pass through row by
 row; words of any length are encoded whole; null ids (the list) decode to a null text, an id without a piece
@@ -24,30 +23,35 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import reliable_checkpoint
-from .common import FLUSH_BYTES, arrow_schema, schema_names, text_or_empty
+from .common import bound_batches, schema_names, text_or_empty
 
-#: Fixed value: white space of the word pattern, spelled out because the JVM's own class knows ASCII only.
-SPACE = r"\s\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Fixed value: the word pattern of byte-level BPE.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose classes are known to agree (the tests go through all of them): Latin, dashes and quotes.
 PLAIN = r"\x00-\u024F\u2010-\u2027\u2030-\u203A\u20AC"
-#: The part of the word table that is broadcast is at most so large.
+#: The word table is at most so large.
 BROADCAST_BYTES = 24 << 20
 #: What a row of it takes besides its word and ids.
 ROW_BYTES = 64
+#: Ids below this are looked up in an array.
+DENSE_IDS = 1 << 20
+#: Tokens whose bytes are put together at once.
+TOKENS_AT_ONCE = 1 << 18
+#: What a block carries besides its keys.
+OWN = ("docs", "counts", "codes")
 
 
 def default_path() -> str:
@@ -79,18 +83,20 @@ class WordCoder:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.letters = dict(enumerate(_byte_letters()))
+        self.pattern = regex.compile(PATTERN)
+        self.strange = re.compile(f"[^{PLAIN}]").search
 
-    def odd_pattern(self) -> str:
-        """A pattern, for the JVM, of texts that the JVM does not split."""
-        return "|".join([f"[^{PLAIN}]", *(re.sub(r"([^A-Za-z0-9])", r"\\\1", t) for t in self.added)])
+    def _plain(self, text: str) -> list[str]:
+        if self.strange(text):
+            return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        return self.pattern.findall(text)
 
     def split(self, text: str) -> list[str]:
+        if self.cut is None or not self.cut.search(text):
+            return self._plain(text)
         words: list[str] = []
-        for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.added:
-                words.append(part)
-            elif part:
-                words += [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+        for part in self.cut.split(text):
+            words += [part] if part in self.added else self._plain(part)
         return words
 
     def word(self, word: str) -> bytes:
@@ -119,50 +125,105 @@ def _definition(path: str | None) -> str:
         return file.read()
 
 
-def words_of(text: Column, definition: str) -> Column:
-    """array<string>: the words of a text in order, added tokens among them."""
+def distinct_words(docs: DataFrame, definition: str, text_col: str = "text") -> DataFrame:
+    """(word): the distinct words of each block."""
 
-    @F.arrow_udf("array<string>")
-    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = _coder(definition)
-        for texts in batches:
-            yield pa.array([None if (t := x.as_py()) is None else coder.split(t) for x in texts], pa.list_(pa.string()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = _coder(definition).split
+        for batch in batches:
+            words: set[str] = set()
+            for text in batch.column(0):
+                words.update(split(text.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
             pa.default_memory_pool().release_unused()
 
-    odd = F.when(text.rlike(_coder(definition).odd_pattern()), text)
-    return F.coalesce(split(odd), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    bound_batches(docs.sparkSession)
+    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word string")
 
 
-def word_table(words: DataFrame, definition: str) -> DataFrame:
-    """(word, ids, n): every distinct word of a column of words (array<string>), encoded once, and its occurrences."""
+def word_table(words: DataFrame, definition: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """(word, ids, n): words in more than one block, each encoded once, and the number of their blocks; the most frequent ones
+    that fit into so many bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(definition)
+        word = _coder(definition).word
         for batch in batches:
-            ids = pa.array([coder.word(w.as_py()) for w in batch.column(0)], pa.binary())
+            ids = pa.array([word(w.as_py()) for w in batch.column(0)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, batch.column(1)], names=["word", "ids", "n"])
         pa.default_memory_pool().release_unused()
 
+    counted = reliable_checkpoint(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
+    # A word has at most one id of four bytes for each of its bytes.
+    octave = F.floor(F.log2("n")).cast("int")
+    sizes = counted.groupBy(octave.alias("o")).agg(F.sum(F.octet_length("word") * 5 + ROW_BYTES).alias("s")).collect()
+    held, least = 0, 64
+    for o, size in sorted(((r.o, r.s) for r in sizes), reverse=True):
+        if held + size > most:
+            break
+        held, least = held + size, o
     spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return reliable_checkpoint(counted.repartition(spread, "word").mapInArrow(run, "word string, ids binary, n bigint"))
+    return reliable_checkpoint(counted.where(octave >= least).repartition(spread, "word").mapInArrow(run, "word string, ids binary, n bigint"))
 
 
-def hot_part(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """The most frequent words that fit into so many bytes, and the others (None where all fit)."""
-    size = F.octet_length("word") + F.octet_length("ids") + ROW_BYTES
-    octave = F.floor(F.log2("n")).cast("int")
-    sizes = table.groupBy(octave.alias("o")).agg(F.sum(size).alias("s")).collect()
-    held, least = 0, math.inf
-    for o, s in sorted(((r.o, r.s) for r in sizes), reverse=True):
-        if held + s > most:
-            break
-        held, least = held + s, o
-    if least == math.inf and sizes:
-        least = max(r.o for r in sizes) + 1
-    if all(r.o >= least for r in sizes):
-        return table, None
-    return table.where(octave >= int(least)), table.where(octave < int(least))
+def _text_blocks(docs: DataFrame, definition: str, id_col: str, text_col: str) -> DataFrame:
+    """One row for each block: its distinct words, and of its texts the ids, numbers of words and the words' numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = _coder(definition).split
+        for batch in batches:
+            number: defaultdict[str, int] = defaultdict()
+            number.default_factory = number.__len__
+            counts, codes = array("i"), array("i")
+            for text in batch.column(1):
+                words = split(text.as_py())
+                counts.append(len(words))
+                codes.extend(map(number.__getitem__, words))
+            docs_ = pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([docs_, pa.array([counts.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([list(number)], pa.list_(pa.string()))], names=["docs", "counts", "codes", "keys"])
+            pa.default_memory_pool().release_unused()
+
+    bound_batches(docs.sparkSession)
+    narrow = docs.select(F.col(id_col).cast("bigint"), text_or_empty(text_col))
+    return narrow.mapInArrow(run, "docs array<bigint>, counts binary, codes binary, keys array<string>")
+
+
+def _id_blocks(coded: DataFrame, id_col: str) -> DataFrame:
+    """One row for each block of (id, ids): its distinct token ids, and the texts' ids, numbers of tokens (-1: no list)
+    and tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [None if x is None else np.asarray(x, np.int32) for x in map(_value, batch.column(1))]
+            counts = np.array([-1 if x is None else len(x) for x in lists], np.int32)
+            yield _id_block(batch.column(0).to_pylist(), counts, np.concatenate([np.zeros(0, np.int32), *(x for x in lists if x is not None)]))
+
+    bound_batches(coded.sparkSession)
+    return coded.select(F.col(id_col).cast("bigint"), "ids").mapInArrow(run, _ID_BLOCK)
+
+
+_ID_BLOCK = "docs array<bigint>, counts binary, codes binary, keys array<int>"
+
+
+def _id_block(docs: list, counts: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+    keys = _distinct(tokens)
+    return pa.RecordBatch.from_arrays([pa.array([docs], pa.list_(pa.int64())), pa.array([counts.tobytes()], pa.binary()), pa.array([tokens.tobytes()], pa.binary()), pa.array([keys], pa.list_(pa.int32()))], names=["docs", "counts", "codes", "keys"])
+
+
+def _distinct(tokens: np.ndarray) -> np.ndarray:
+    if not len(tokens) or tokens.min() < 0 or tokens.max() >= DENSE_IDS:
+        return np.unique(tokens)
+    seen = np.zeros(int(tokens.max()) + 1, bool)
+    seen[tokens] = True
+    return np.flatnonzero(seen).astype(np.int32)
+
+
+def _numbers(tokens: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Each token's place among the ascending keys."""
+    if not len(tokens) or keys[0] < 0 or keys[-1] >= DENSE_IDS:
+        return np.searchsorted(keys, tokens)
+    places = np.zeros(int(keys[-1]) + 1, np.int32)
+    places[keys] = np.arange(len(keys), dtype=np.int32)
+    return places[tokens]
 
 
 def _value(x: pa.Scalar):
@@ -170,125 +231,144 @@ def _value(x: pa.Scalar):
     return x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) and x.is_valid else x.as_py()
 
 
-def assemble(rows: DataFrame, keep: str, schema: str, finish: Callable[[list], tuple]) -> DataFrame:
-    """One row for each text out of rows (keep..., pos, value binary, patch) that follow each other in the order of
-    position; pos 0 begins a text (-1 begins one without a list), and the patches of its first row stand for its
-    null values in order. finish turns the joined bytes (None for pos -1) into the columns after those of keep,
-    whose values come from the first row."""
-    kept, names, target = schema_names(keep), schema_names(schema), arrow_schema(rows.sparkSession, schema)
+def spread_out(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of pieces of those sizes, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _joined(blocks: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """(pos, rest, value, docs, counts, codes): one row for each key of a block; value is what the table has for it, rest the
+    key where it has none; the block's own columns are on its first row."""
+    rows = blocks.select("*", F.posexplode_outer("keys").alias("pos", "k")).join(F.broadcast(table), F.col("k") == F.col(key), "left")
+    pos = F.coalesce("pos", F.lit(0))
+    first = [F.when(pos == 0, F.col(c)).alias(c) for c in OWN]
+    return rows.select(pos.alias("pos"), F.when(F.col(value).isNull(), F.col("k")).alias("rest"), F.col(value).alias("value"), *first)
+
+
+def assemble(rows: DataFrame, schema: str, finish: Callable[[dict, np.ndarray, bytes], Iterator[pa.RecordBatch]], rest: Callable[[object], bytes]) -> DataFrame:
+    """What finish makes of each block of _joined, whose rows follow each other by pos from 0: its own columns, the sizes of its
+    keys' values and the values. rest gives the value of a key that has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held, now, last = 0, None, -2  # now: the first row's values, the bytes so far, whether there is a list
-        patches: Iterator[bytes] = iter(())
+        now, last = None, -2  # the block's own columns, sizes and values so far; the last position
 
         def done():
-            return (*now[0], *finish(b"".join(now[1]) if now[2] else None))
-
-        def batch_of():
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), target.types)], names=names)
+            own, sizes, data = now
+            return finish(own, np.concatenate(sizes), b"".join(data))
 
         for batch in batches:
-            pos = batch.column("pos").to_numpy(zero_copy_only=False)
-            if not len(pos):
+            if not batch.num_rows:
                 continue
+            pos = batch.column("pos").to_numpy(zero_copy_only=False)
             before = np.concatenate([[last], pos[:-1]])
-            if not ((pos <= 0) | (pos == before + 1)).all():
-                raise RuntimeError("the rows of a text do not follow each other")
+            if not ((pos == 0) | (pos == before + 1)).all():
+                raise RuntimeError("the rows of a block do not follow each other")
             last = int(pos[-1])
             value = batch.column("value")
-            starts = np.flatnonzero(pos <= 0)
-            if value.null_count and "patch" in batch.schema.names:
-                filled, patch, begins = value.to_pylist(), batch.column("patch"), set(starts.tolist())
-                for i, v in enumerate(filled):
-                    if i in begins:
-                        patches = iter(patch[i].as_py() or ())
-                    if v is None:
-                        filled[i] = next(patches, b"")
+            if value.null_count:
+                keys, filled = batch.column("rest"), value.to_pylist()
+                for i in np.flatnonzero(value.is_null().to_numpy(zero_copy_only=False)).tolist():
+                    key = keys[i].as_py()
+                    filled[i] = b"" if key is None else rest(key)
                 value = pa.array(filled, pa.binary())
-            elif "patch" in batch.schema.names and len(starts):
-                patches = iter(batch.column("patch")[int(starts[-1])].as_py() or ())
             offsets = np.frombuffer(value.buffers()[1], np.int32)[value.offset : value.offset + len(value) + 1]
             data = memoryview(value.buffers()[2] or b"")
-            first = [batch.column(k) for k in kept]
-            if now is not None:
-                now[1].append(bytes(data[offsets[0] : offsets[starts[0] if len(starts) else len(pos)]]))
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(pos)]):
-                if now is not None:
-                    out.append(done())
-                    held += sum(map(len, now[1]))
-                now = ([_value(c[s]) for c in first], [bytes(data[offsets[s] : offsets[e]])], pos[s] == 0)
-                if held >= FLUSH_BYTES or len(out) >= 1024:
-                    yield batch_of()
-                    out, held = [], 0
+            starts = np.flatnonzero(pos == 0).tolist()
+            for s, e in zip([0, *starts] if not starts or starts[0] else starts, [*(starts if not starts or starts[0] else starts[1:]), len(pos)]):
+                if pos[s] == 0:
+                    if now is not None:
+                        yield from done()
+                    now = ({c: batch.column(c)[s].as_py() for c in OWN}, [], [])
+                now[1].append(np.diff(offsets[s : e + 1]))
+                now[2].append(bytes(data[offsets[s] : offsets[e]]))
             pa.default_memory_pool().release_unused()
         if now is not None:
-            out.append(done())
-        if out:
-            yield batch_of()
+            yield from done()
 
     return rows.mapInArrow(run, schema)
 
 
-def _patches(words: DataFrame, cold: DataFrame, hot: DataFrame) -> DataFrame:
-    """(h, patch): for each distinct text (by hash h) that has words outside the hot part, their ids in order."""
-    once = words.groupBy("h").agg(F.first("words").alias("words")).select("h", F.posexplode("words").alias("pos", "w"))
-    rare = once.join(F.broadcast(hot.select("word")), F.col("w") == F.col("word"), "left_anti")
-    met = rare.join(cold.select("word", "ids"), F.col("w") == F.col("word")).select("h", "pos", "ids")
-    listed = met.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("l"))
-    return listed.select("h", F.transform("l", lambda x: x["ids"]).alias("patch"))
+def _tokens(own: dict, sizes: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A block's tokens, and the number of tokens of each of its texts."""
+    codes, words = np.frombuffer(own["codes"], np.int32), np.frombuffer(own["counts"], np.int32)
+    sizes = sizes // 4
+    many = sizes[codes]
+    tokens = np.frombuffer(data, np.int32)[spread_out((np.cumsum(sizes) - sizes)[codes], many)]
+    ends = np.concatenate([[0], np.cumsum(many)])[np.cumsum(words)] if len(words) else np.zeros(0, np.int64)
+    return tokens, np.diff(ends, prepend=0).astype(np.int32)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(id, n_tokens, ids, ids_sha256) for each row: token ids in order, and the digest of them as
-    little-endian unsigned 32-bit integers."""
-    definition = _definition(path)
-    text = text_or_empty(text_col)
-    words = docs.select(F.col(id_col).cast("bigint").alias("i"), words_of(text, definition).alias("words"))
-    hot, cold = hot_part(word_table(words, definition), broadcast_bytes)
-    if cold is not None:
-        keyed = docs.select(F.col(id_col).cast("bigint").alias("i"), F.md5(text).alias("h"), words_of(text, definition).alias("words"))
-        patches = reliable_checkpoint(_patches(keyed, cold, hot)).withColumnRenamed("h", "h_")
-        words = keyed.join(patches, F.col("h") == F.col("h_"), "left").select("i", "words", "patch")
-    else:
-        words = words.withColumn("patch", F.lit(None).cast("array<binary>"))
-    rows = words.select("i", "patch", F.posexplode_outer("words").alias("pos", "w"))
-    rows = rows.join(F.broadcast(hot.select("word", "ids")), F.col("w") == F.col("word"), "left")
-    pos = F.coalesce("pos", F.lit(0))
-    value = F.when(F.col("pos").isNull(), F.lit(b"")).otherwise(F.col("ids"))
-    rows = rows.select(F.col("i").alias(id_col), pos.alias("pos"), value.alias("value"), *([F.when(pos == 0, F.col("patch")).alias("patch")] if cold is not None else []))
+def _encoded_blocks(docs: DataFrame, definition: str, id_col: str, text_col: str, most: int) -> DataFrame:
+    table = word_table(distinct_words(docs, definition, text_col), definition, most)
+    return _joined(_text_blocks(docs, definition, id_col, text_col), table.select("word", "ids"), "word", "ids")
 
-    def finish(ids: bytes) -> tuple:
-        return len(ids) // 4, np.frombuffer(ids, np.int32), hashlib.sha256(ids).hexdigest()
 
-    return assemble(rows, f"{id_col} bigint", f"{id_col} bigint, n_tokens bigint, ids array<int>, ids_sha256 string", finish)
+def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, ids array<int>) for each row: token ids in order."""
+    definition = _definition(path)
 
+    def finish(own: dict, sizes: np.ndarray, data: bytes) -> Iterator[pa.RecordBatch]:
+        tokens, counts = _tokens(own, sizes, data)
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(tokens, pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(own["docs"], pa.int64()), lists], names=[id_col, "ids"])
 
-def piece_table(docs: DataFrame, definition: str) -> DataFrame:
-    """(piece_id, piece): one row for each id of the vocabulary."""
-    return docs.sparkSession.createDataFrame(pa.table({"piece_id": pa.array((p := pieces_of(definition)), pa.int32()), "piece": pa.array(list(p.values()), pa.binary())}))
+    rows = _encoded_blocks(docs, definition, id_col, text_col, most)
+    return assemble(rows, f"{id_col} bigint, ids array<int>", finish, lambda word: _coder(definition).word(word))
 
 
-def decode_documents(coded: DataFrame, path: str | None = None, id_col: str = "doc_id", keep: str = "", out: Callable[[str | None], object] | None = None) -> DataFrame:
-    """(id, keep..., text) for each row of (id, ids array<int>, keep...): the text of its ids, or what out makes of it.
-    keep lists further columns with their types."""
+def piece_table(spark: SparkSession, definition: str) -> DataFrame:
+    """(piece_id, piece): one row for each id of the vocabulary."""
+    pieces = pieces_of(definition)
+    return spark.createDataFrame(pa.table({"piece_id": pa.array(pieces, pa.int32()), "piece": pa.array(pieces.values(), pa.binary())}))
+
+
+def _decoded(blocks: DataFrame, definition: str, schema: str, columns: Callable[[list, np.ndarray, np.ndarray, list], list[pa.Array]]) -> DataFrame:
+    """The texts of blocks of ids; columns makes what is returned of document ids, tokens, numbers of tokens and texts."""
+    names = schema_names(schema)
+
+    def finish(own: dict, sizes: np.ndarray, data: bytes) -> Iterator[pa.RecordBatch]:
+        tokens, counts = np.frombuffer(own["codes"], np.int32), np.frombuffer(own["counts"], np.int32)
+        many, at = np.maximum(counts, 0), 0
+        codes = _numbers(tokens, _distinct(tokens))
+        source, starts = np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes
+        ends, docs = np.cumsum(many), own["docs"]
+        # Some texts at a time, so that their bytes' places take bounded memory.
+        while at < len(many):
+            first = int(ends[at] - many[at])
+            to = max(at + 1, int(np.searchsorted(ends, first + TOKENS_AT_ONCE, side="right")))
+            part = codes[first : int(ends[to - 1])]
+            size = sizes[part]
+            joined = source[spread_out(starts[part], size)].tobytes()
+            borders = np.concatenate([[0], np.cumsum(size)])[ends[at:to] - first].tolist()
+            texts = [None if c < 0 else joined[a:b].decode("utf-8", "replace") for c, a, b in zip(counts[at:to].tolist(), [0, *borders], borders)]
+            yield pa.RecordBatch.from_arrays(columns(docs[at:to], tokens[first : int(ends[to - 1])], counts[at:to], texts), names=names)
+            at = to
+
+    rows = _joined(blocks, piece_table(blocks.sparkSession, definition), "piece_id", "piece")
+    return assemble(rows, schema, finish, lambda _: b"")
+
+
+def decode_documents(coded: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(id, text) for each row of (id, ids array<int>): the text of its ids; null ids have a null text."""
+    columns = lambda docs, tokens, counts, texts: [pa.array(docs, pa.int64()), pa.array(texts, pa.string())]
+    return _decoded(_id_blocks(coded, id_col), _definition(path), f"{id_col} bigint, text string", columns)
+
+
+def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, n_tokens, ids, ids_sha256, decoded_sha256) of each document encoded and decoded again; ids_sha256 is that of
+    the ids as little-endian unsigned 32-bit integers."""
     definition = _definition(path)
-    kept = f"{id_col} bigint" + (f", {keep}" if keep else "")
-    rows = coded.select(F.col("ids").alias("list"), *schema_names(kept), F.posexplode_outer("ids").alias("pos", "id_"))
-    rows = rows.join(F.broadcast(piece_table(coded, definition)), F.col("id_") == F.col("piece_id"), "left")
-    pos = F.when(F.col("list").isNull(), -1).otherwise(F.coalesce("pos", F.lit(0)))
-    first = [F.when(pos <= 0, F.col(c)).alias(c) for c in schema_names(kept)]
-    rows = rows.select(*first, pos.alias("pos"), F.coalesce("piece", F.lit(b"")).alias("value"))
-
-    def finish(data: bytes | None) -> tuple:
-        text = None if data is None else data.decode("utf-8", "replace")
-        return (text if out is None else out(text),)
 
-    return assemble(rows, kept, f"{kept}, text string", finish)
+    def to_ids(own: dict, sizes: np.ndarray, data: bytes) -> Iterator[pa.RecordBatch]:
+        tokens, counts = _tokens(own, sizes, data)
+        yield _id_block(own["docs"], counts, tokens)
 
+    def columns(docs: list, tokens: np.ndarray, counts: np.ndarray, texts: list) -> list[pa.Array]:
+        borders = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        digest = lambda data: hashlib.sha256(data).hexdigest()
+        ids = [digest(tokens[a:b].tobytes()) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+        return [pa.array(docs, pa.int64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(borders, pa.array(tokens, pa.int32())), pa.array(ids, pa.string()), pa.array([digest(t.encode()) for t in texts], pa.string())]
 
-def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids, ids_sha256, decoded_sha256) of each document encoded and decoded again."""
-    coded = encode_documents(docs, path, id_col, text_col)
-    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
-    return decode_documents(coded, path, id_col, "n_tokens bigint, ids array<int>, ids_sha256 string", digest).withColumnRenamed("text", "decoded_sha256")
+    blocks = assemble(_encoded_blocks(docs, definition, id_col, text_col, most), _ID_BLOCK, to_ids, lambda word: _coder(definition).word(word))
+    return _decoded(blocks, definition, f"{id_col} bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string", columns)

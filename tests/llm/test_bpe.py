@@ -32,14 +32,12 @@ def test_ids_equal_the_library(tokenizer, parts):
     assert b"".join(PIECES[i] for i in ids).decode() == text
 
 
-def test_every_plain_character_splits_alike(spark, tokenizer):
-    plain = [c for c in map(chr, [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x203B), 0x20AC])]
-    texts = [f"a{c}b {c} 1{c}'ll{c}\n{c}'s{c}{c} {c} {c}" for c in plain] + ["".join(plain), " ".join(plain), "<|endoftext|>a", "x <|endoftext|>", "Ⅷ ٣\u3000 x"]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    odd = {r.i for r in df.where(F.col("text").rlike(CODER.odd_pattern())).collect()}
-    assert odd == {len(texts) - 3, len(texts) - 2, len(texts) - 1}
-    for r in df.select("text", bpe.words_of(F.col("text"), DEFINITION).alias("w")).collect():
-        assert r.w == CODER.split(r.text), repr(r.text)
+def test_every_plain_character(tokenizer):
+    plain = [c for c in map(chr, range(0x2100)) if not CODER.strange(c)]
+    assert len(plain) > 600
+    for c in plain:
+        text = f"a{c}b {c} 1{c}'ll{c}\n{c}'s{c}{c} "
+        assert CODER.pattern.findall(text) == [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)], hex(ord(c))
 
 
 def test_query_against_the_library(spark, sf_dir, few, tokenizer):
@@ -50,38 +48,47 @@ def test_query_against_the_library(spark, sf_dir, few, tokenizer):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
 
-@pytest.mark.parametrize("most", [0, 6000, 1 << 30])
-def test_any_part_of_the_table_may_be_broadcast(few, odd, tokenizer, most):
-    """No word, the frequent ones or all of them: the ids stay the same."""
+@pytest.fixture
+def small_blocks(spark):
+    """Blocks of a few texts, so that there are many of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("most", [0, 20_000, 1 << 30])
+def test_any_part_of_the_words_may_be_in_the_table(few, odd, tokenizer, small_blocks, most):
+    """No word, the frequent ones or all that several blocks have: the ids stay the same."""
     docs = few[0].where("doc_id % 20 = 0").select("doc_id", "text").union(odd.select("doc_id", "text"))
-    found = [(r.doc_id, tuple(r.ids), r.n_tokens) for r in bpe.encode_documents(docs, broadcast_bytes=most).collect()]
-    encoded = lambda text: tuple(tokenizer.encode(text or "", add_special_tokens=False).ids)
-    expected = [(r.doc_id, encoded(r.text), len(encoded(r.text))) for r in docs.collect()]
+    found = [(r.doc_id, tuple(r.ids)) for r in bpe.encode_documents(docs, most=most).collect()]
+    expected = [(r.doc_id, tuple(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()]
     assert Counter(found) == Counter(expected)
+    assert sorted(r.ids_sha256 for r in bpe.digests(docs, most=most).collect()) == sorted(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() for _, ids in expected)
 
 
-def test_only_distinct_words_are_encoded(few):
-    words = few[0].select(bpe.words_of(F.col("text"), DEFINITION).alias("words"))
+def test_table_of_distinct_words(few, small_blocks):
+    words = bpe.distinct_words(few[0], DEFINITION)
+    blocks = Counter(r.word for r in words.collect())
+    assert blocks.keys() == {w for t in few[1].values() for w in CODER.split(t)}
     table = bpe.word_table(words, DEFINITION).collect()
-    expected = Counter(w for t in few[1].values() for w in CODER.split(t))
-    assert {r.word: r.n for r in table} == expected and len(table) == len(expected)
+    assert {r.word: r.n for r in table} == {w: n for w, n in blocks.items() if n > 1} and len(table) == len({r.word for r in table})
+    assert all(bytes(r.ids) == CODER.word(r.word) for r in table)
+    some = bpe.word_table(words, DEFINITION, 20_000).collect()
+    assert 0 < len(some) < len(table) and min(r.n for r in some) >= max(r.n for r in table if r not in some) / 2
 
 
 def test_rows_out_of_order_are_refused(spark):
-    rows = spark.createDataFrame([(1, 0, b"a"), (1, 2, b"b")], "i bigint, pos int, value binary").coalesce(1)
+    rows = spark.createDataFrame([(0, None, b"a", [1], b"", b""), (2, None, b"b", None, None, None)], "pos int, rest string, value binary, docs array<bigint>, counts binary, codes binary").coalesce(1)
     with pytest.raises(Exception, match="do not follow"):
-        bpe.assemble(rows, "i bigint", "i bigint, n int", lambda data: (len(data),)).collect()
-
-
-def test_texts_may_span_batches(spark):
-    rows = spark.range(0, 25_000, 1, 1).select((F.col("id") % 10).cast("int").alias("pos"), F.floor(F.col("id") / 10).alias("i"), F.lit(b"ab").alias("value"))
-    rows = rows.union(spark.sql("select -1 pos, 77777L i, x'' value")).coalesce(1)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
-    try:
-        found = bpe.assemble(rows, "i bigint", "i bigint, n int", lambda data: (None if data is None else len(data),)).collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert [(r.i, r.n) for r in found] == [*((i, 20) for i in range(2500)), (77777, None)]
+        bpe.assemble(rows, "n int", lambda own, sizes, data: iter(()), lambda key: b"").collect()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=20), st.integers(0, 40))
+def test_pieces_are_spread_out(sizes, shift):
+    sizes = np.array(sizes, np.int64)
+    starts = (np.cumsum(sizes) - sizes)[::-1] + shift
+    assert bpe.spread_out(starts, sizes[::-1]).tolist() == [a + i for a, n in zip(starts.tolist(), sizes[::-1].tolist()) for i in range(n)]
 
 
 def test_odd_rows(odd, empty, clashing):
