@@ -4,20 +4,24 @@ A text falls into sections (each ends after a blank line), these into paragraphs
 break) and these into pieces: a sentence with its closing marks and white space, cut at PIECE code points.
 Nothing is dropped, so the pieces joined are the text. A piece's hash is the SHA-256 of its text; the
 hash of a paragraph, section or document is the SHA-256 of its children's hashes joined. Equal roots mean
-equal trees; where roots differ, comparing children finds the branches that hold the edits.
+equal trees; where roots differ, comparing children finds the branches that hold the edits: all sections and
+paragraphs that differ are listed.
 
 Likeness of two trees is the share of leaves in common: twice the number of distinct leaf hashes in both
 over the sum of each one's number of distinct leaf hashes (1 for two empty texts).
 
 Edge cases: a null text counts as empty, with no sections and the hash of nothing as root; null ids come
-last in descending order; rows with equal ids go by text; repeated rows each get a row and follow each other; one row
-alone is followed by itself; an empty table gives an empty result; other columns are left out. A text is
-one row of one task, so a text must fit in memory, but the corpus is never ordered in one task.
+last in descending order; rows with equal ids go by a hash of the text, then the text; repeated rows each get a row and follow
+each other; one row alone is followed by itself; an empty table gives an empty result; other columns are left out.
+A text is one row of one task, so a text must fit in memory, but neither the corpus nor the rows of one id are ever
+ordered in one task.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +31,12 @@ from .common import text_or_empty
 PIECE = 64
 PARAGRAPHS = r"[^\n]*\n|[^\n]+"
 PIECES = r"[^.!?]{1,%d}[.!?]*\s*|[.!?]+\s*" % PIECE
-#: Rows that a run of neighbouring ids should hold, and the most runs (their bounds are known to the driver).
+#: Rows that a run of neighbouring rows should hold while that makes at most MAX_RUNS of them (their bounds are known to
+#: the driver); beyond that runs grow with the rows.
 RUN_ROWS = 1000
-MAX_RUNS = 4096
+MAX_RUNS = 1 << 16
+#: An id with more rows than so many runs hold is split by the hash of its texts.
+HOT_RUNS = 4
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -68,11 +75,10 @@ def likeness(a: str, b: str) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
-def first_difference(a: str, b: str) -> Column:
-    """Index from 0 of the first place where two hash arrays differ, null where they agree."""
-    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
-    place = F.array_position(same, False)
-    return F.when(place > 0, (place - 1).cast("int"))
+def differences(a: str, b: str) -> Column:
+    """Indices from 0 of all places where two hash arrays differ."""
+    differ = F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y))
+    return F.filter(F.transform(differ, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,16 +88,55 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.select(id_col, F.char_length("t").cast("bigint").alias("n_chars"), F.size("sections").alias("n_sections"), F.size("paragraphs").alias("n_paragraphs"), F.col("root").alias("fingerprint"))
 
 
-def _tops(ids: DataFrame) -> list[int]:
-    """The largest id of each run of neighbouring ids, ascending; at most MAX_RUNS of them."""
-    n = ids.count()
-    runs = min(MAX_RUNS, max(1, math.ceil(n / RUN_ROWS)))
-    shares = [(i + 1) / runs for i in range(runs)]
-    found = ids.agg(F.percentile_approx("i", shares, 20 * runs).alias("p"), F.max("i").alias("m")).first()
-    return sorted({*(found.p or []), *([] if found.m is None else [found.m])})
-
-
-def _run_of(value: Column, tops: list[int]) -> Column:
+@dataclass
+class Runs:
+    """How rows in order (ids descending, null last, then by hash) fall into runs. tops: the largest id of each
+    range of ids, ascending; parts: into how many runs each range is cut by hash, and last the rows without id."""
+
+    tops: list[int]
+    parts: list[int]
+    hot_texts: list[tuple[int | None, int, int]]
+
+    @property
+    def bases(self) -> list[int]:
+        """The first run of each range; the range of the largest ids comes first, rows without id last."""
+        ends = list(accumulate([*reversed(self.parts[:-1]), self.parts[-1]]))
+        starts = [0, *ends[:-1]]
+        return [*reversed(starts[:-1]), starts[-1]]
+
+    def place(self, i: str, h: str) -> Column:
+        """The run of a row. Equal rows of an id and text that are too many for a run are dealt out to runs past all others."""
+        spot = _range_of(F.col(i), self.tops) if self.tops else F.lit(0)
+        spot = F.when(F.col(i).isNull(), len(self.tops)).otherwise(spot)
+        parts = F.get(F.lit(self.parts), spot)
+        part = F.when(parts > 1, F.least(F.floor((F.col(h) / float(1 << 64) + 0.5) * parts).cast("int"), parts - 1)).otherwise(0)
+        run = F.get(F.lit(self.bases), spot) + part
+        for one, text, parts_ in self.hot_texts:
+            salt = F.pmod(F.monotonically_increasing_id(), F.lit(parts_)).cast("int")
+            run = F.when(F.col(i).eqNullSafe(F.lit(one).cast("bigint")) & (F.col(h) == text) & (salt > 0), sum(self.parts) + salt).otherwise(run)
+        return run
+
+
+def plan_runs(keys: DataFrame) -> Runs:
+    """keys: (i, h) of all rows."""
+    n = keys.count()
+    each = max(RUN_ROWS, math.ceil(n / MAX_RUNS))
+    # More rows than HOT_RUNS runs hold: at most MAX_RUNS / HOT_RUNS ids can have them, and as many pairs of id and text.
+    hot = {r.i: r.c for r in keys.groupBy("i").agg(F.count("*").alias("c")).where(F.col("c") > HOT_RUNS * each).collect()}
+    texts = []
+    if hot:
+        mine = keys.where(F.col("i").isin([i for i in hot if i is not None]) | (F.col("i").isNull() & F.lit(None in hot)))
+        texts = [(r.i, r.h, math.ceil(r.c / each)) for r in mine.groupBy("i", "h").agg(F.count("*").alias("c")).where(F.col("c") > HOT_RUNS * each).collect()]
+    runs = min(MAX_RUNS, max(1, math.ceil(n / each)))
+    found = keys.where("i is not null").agg(F.percentile_approx("i", [(k + 1) / runs for k in range(runs)], 10 * runs).alias("p"), F.max("i").alias("m")).first()
+    tops = {*(found.p or []), *([] if found.m is None else [found.m])}
+    # A hot id is a range of its own.
+    tops = sorted(tops | {i for i in hot if i is not None} | {i - 1 for i in hot if i is not None and i > -(1 << 63)})
+    parts = [math.ceil(hot[t] / each) if t in hot else 1 for t in tops] + [math.ceil(hot.get(None, 1) / each)]
+    return Runs(tops, parts, texts)
+
+
+def _range_of(value: Column, tops: list[int]) -> Column:
     """Index of the first top that is not below the value, by binary search."""
     table = F.lit(tops)
 
@@ -108,19 +153,23 @@ def _run_of(value: Column, tops: list[int]) -> Column:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(i, t, after): each row with the text of the next one by descending id, the first one's after the last.
 
-    Ids fall into runs between known ids (the tops); a window orders each run, and a copy of each run's
-    first row (which has the run's top as id) stands at the end of the run before it."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("i"), text_or_empty(text_col).alias("t"))
-    tops = _tops(rows.select("i").where("i is not null"))
-    own, copy = F.lit(0), F.lit(1)
-    if tops:
-        rows = rows.withColumn("run", F.when(F.col("i").isNull(), 0).otherwise(_run_of(F.col("i"), tops)))
-        places = F.when(F.col("i") == F.get(F.lit(tops), F.col("run")), F.array(F.struct(F.col("run").alias("run"), own.alias("copy")), F.struct(((F.col("run") + 1) % len(tops)).alias("run"), copy.alias("copy")))).otherwise(F.array(F.struct(F.col("run").alias("run"), own.alias("copy"))))
-        rows = rows.select("i", "t", F.explode(places).alias("x")).select("i", "t", "x.run", "x.copy")
-    else:
-        rows = rows.withColumns({"run": F.lit(0), "copy": own})
-    order = Window.partitionBy("run").orderBy("copy", F.col("i").desc_nulls_last(), "t")
-    after = F.coalesce(F.lead("t").over(order), F.first("t").over(order))
+    Rows fall into runs; a window orders each run, and a copy of the next run's first row stands at its end. Rows past
+    all runs equal others of a run, and are followed by one of those."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("i"), text_or_empty(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
+    runs = plan_runs(rows.select("i", "h"))
+    rows = rows.withColumns({"run": runs.place("i", "h"), "down": F.bitwise_not("i")})
+    last = sum(runs.parts)
+    firsts = sorted((r.run, r.f.down, r.f.h) for r in rows.where(F.col("run") < last).groupBy("run").agg(F.min(F.struct("down", "h")).alias("f")).collect())
+    # One row for each run: at most some MAX_RUNS and twice as many parts of hot ids.
+    table = [(run, down, h, firsts[k - 1][0]) for k, (run, down, h) in enumerate(firsts)]
+    table = docs.sparkSession.createDataFrame(table, "run_ int, down_ bigint, h_ bigint, before int")
+    met = (F.col("run") == F.col("run_")) & F.col("down").eqNullSafe(F.col("down_")) & (F.col("h") == F.col("h_"))
+    rows = rows.join(F.broadcast(table), met, "left")
+    own = F.struct(F.col("run").alias("run"), F.lit(0).alias("copy"))
+    places = F.when(F.col("before").isNotNull(), F.array(own, F.struct(F.col("before").alias("run"), F.lit(1).alias("copy")))).otherwise(F.array(own))
+    rows = rows.select("i", "t", "h", "down", F.explode(places).alias("x")).select("i", "t", "h", "down", "x.run", "x.copy")
+    order = Window.partitionBy("run").orderBy("copy", F.col("down").asc_nulls_last(), "h", "t")
+    after = F.when(F.col("run") >= last, F.col("t")).otherwise(F.lead("t").over(order))
     return rows.withColumn("after", after).where("copy = 0").select("i", "t", "after")
 
 
@@ -144,5 +193,6 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         likeness("own_leaves", "after_leaves").alias("near_next"),
         F.size("own_paragraphs").alias("n_paragraphs"),
         F.size("own_leaves").alias("n_leaves"),
-        first_difference("own_paragraphs", "edit_paragraphs").alias("edited_paragraph"),
+        F.array_join(differences("own_sections", "edit_sections"), ",").alias("edited_sections"),
+        F.array_join(differences("own_paragraphs", "edit_paragraphs"), ",").alias("edited_paragraphs"),
     )

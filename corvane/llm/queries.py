@@ -93,15 +93,17 @@ ORACLES: dict[str, str] = {
         e as (select *, substr(t, 1, length(t) - length(t) // 3) || substr(nxt, 1, length(t) // 3) ed from n),
         leaf as (select *, {_TREE.replace('TEXT', 't')} lt, {_TREE.replace('TEXT', 'ed')} le, {_TREE.replace('TEXT', 'nxt')} ln from e),
         node as (select *, [[sha256(array_to_string(p, '')) for p in s] for s in lt] nt, [[sha256(array_to_string(p, '')) for p in s] for s in le] ne,
-            list_distinct(flatten(flatten(lt))) a, list_distinct(flatten(flatten(le))) b, list_distinct(flatten(flatten(ln))) c from leaf)
+            list_distinct(flatten(flatten(lt))) a, list_distinct(flatten(flatten(le))) b, list_distinct(flatten(flatten(ln))) c from leaf),
+        sect as (select *, [sha256(array_to_string(s, '')) for s in nt] st, [sha256(array_to_string(s, '')) for s in ne] se from node)
         select doc_id, cast(length(t) as bigint) n_chars, sha256(ed) edited_sha256,
-            sha256(array_to_string([sha256(array_to_string(s, '')) for s in nt], '')) fingerprint,
-            sha256(array_to_string([sha256(array_to_string(s, '')) for s in ne], '')) edited_fingerprint,
+            sha256(array_to_string(st, '')) fingerprint,
+            sha256(array_to_string(se, '')) edited_fingerprint,
             case when len(a) + len(b) = 0 then 1.0 else 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) end near_edited,
             case when len(a) + len(c) = 0 then 1.0 else 2.0 * len(list_intersect(a, c)) / (len(a) + len(c)) end near_next,
             cast(len(flatten(nt)) as int) n_paragraphs, cast(len(a) as int) n_leaves,
-            cast(nullif(coalesce(list_position([flatten(nt)[i] is not distinct from flatten(ne)[i] for i in generate_series(1, greatest(len(flatten(nt)), len(flatten(ne))))], false), 0), 0) - 1 as int) edited_paragraph
-        from node""",
+            array_to_string([i - 1 for i in generate_series(1, greatest(len(st), len(se))) if st[i] is distinct from se[i]], ',') edited_sections,
+            array_to_string([i - 1 for i in generate_series(1, greatest(len(flatten(nt)), len(flatten(ne)))) if flatten(nt)[i] is distinct from flatten(ne)[i]], ',') edited_paragraphs
+        from sect""",
     "op5_mixing": """
         with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) size,
                 (cast('0x' || substr(md5('42:' || doc_id), 1, 12) as bigint) + 0.5) / 281474976710656.0 u from documents),
