@@ -21,11 +21,6 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def l2_normalize(v: Column) -> Column:
-    """Unit vectors; a zero vector stays as it is."""
-    return F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(x))
-
-
 def normalized(df: DataFrame, column: str) -> DataFrame:
     """The frame with one vector column normalised; the norm is computed once a row."""
     scaled = df.withColumn("__norm", norm(F.col(column)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,6 +32,32 @@ def hashed_words(dim: int = 64) -> Encoder:
     return encode
 
 
+def sentence_model(name: str, device: str | None = None) -> Encoder:
+    """A model of the sentence-transformers package, where that is installed: loaded once in each worker, on first use."""
+    held: dict[str, object] = {}
+
+    def encode(texts: list[str]) -> np.ndarray:
+        if "model" not in held:
+            try:
+                from sentence_transformers import SentenceTransformer
+            except ImportError as error:
+                raise RuntimeError("this encoder needs the package sentence-transformers") from error
+            held["model"] = SentenceTransformer(name, device=device)
+        return np.asarray(held["model"].encode(texts, convert_to_numpy=True, show_progress_bar=False), np.float32)
+
+    return encode
+
+
+def encoder_of(spec: str, dim: int = 384) -> Encoder:
+    """hash, or module:function (called without arguments for an encoder), or else the name or path of a sentence model."""
+    if spec == "hash":
+        return hashed_words(dim)
+    if ":" in spec and not os.path.exists(spec):
+        module, _, maker = spec.partition(":")
+        return getattr(importlib.import_module(module), maker)()
+    return sentence_model(spec)
+
+
 def encode_texts(texts: DataFrame, encoder: Encoder, batch_size: int = 128, normalize: bool = True, key: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, kept columns, embedding array<float>) for each row; unit vectors unless told otherwise (zero stays
     zero)."""

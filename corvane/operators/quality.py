@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import all_finite, norm
@@ -121,9 +123,27 @@ def dataset_summary(corpus: DataFrame, queries: DataFrame, qrels: DataFrame) ->
     return _one_row([_count(corpus, "docs"), _count(queries, "queries"), _count(qrels.select("query_id").distinct(), "judged_queries")])
 
 
-def human_bytes(n: float) -> str:
-    for unit in ("B", "KB", "MB", "GB", "TB"):
-        if abs(n) < 1024 or unit == "TB":
-            return f"{n:.2f} {unit}"
-        n /= 1024
-    raise AssertionError
+#: Names of powers of 1,024 bytes.
+UNITS = ("B", "KB", "MB", "GB", "TB")
+
+
+def byte_label(n: float) -> str:
+    """A number of bytes in the largest unit of which there is at least one."""
+    power = min(len(UNITS) - 1, int(math.log(abs(n), 1024) + 1e-12)) if abs(n) >= 1 else 0
+    return f"{n / 1024**power:.2f} {UNITS[power]}"
+
+
+#: What a build's metadata should tell, and the type of each.
+METADATA = {"chunks": list, "num_docs": int, "chunk_size": int, "num_queries": int, "query_dim": int, "model": str, "split": str, "complete": bool}
+
+
+def metadata_check(spark: SparkSession, metadata: dict, docs: DataFrame, embedded: DataFrame) -> DataFrame:
+    """(key, value, state): what the metadata of a build says, and whether the tables bear it out: ok, missing, wrong type,
+    or differs. Only differing numbers speak against the tables."""
+    seen = {"num_docs": docs.count(), "num_queries": embedded.count()}
+    rows = []
+    for key, kind in METADATA.items():
+        value = metadata.get(key)
+        state = "missing" if value is None else "wrong type" if not isinstance(value, kind) else "differs" if seen.get(key, value) != value else "ok"
+        rows.append((key, None if value is None else f"{len(value)} chunks" if isinstance(value, list) else str(value), state))
+    return spark.createDataFrame(rows, "key string, value string, state string")

@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dimension, dot
 
 BROADCAST_BYTES = 64 << 20
-BLOCKS = 64
+#: Beyond that, a block of the other side holds about so many bytes.
+BLOCK_BYTES = 16 << 20
 
 
 def meet(queries: DataFrame, others: DataFrame, vector: str = "centroid") -> DataFrame:
     """Every query with every row of the other frame; the other one is broadcast if its checked size allows."""
-    if others.count() * max(1, dimension(others, vector)) * 8 <= BROADCAST_BYTES:
+    size = others.count() * max(1, dimension(others, vector)) * 8
+    if size <= BROADCAST_BYTES:
         return queries.crossJoin(F.broadcast(others))
-    # Each pair of blocks is one key: both sides spread over BLOCKS tasks or more.
-    left = queries.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    right = others.withColumn("__block", F.pmod(F.xxhash64(*[F.col(c) for c in others.columns if c != vector]), F.lit(BLOCKS)).cast("int"))
+    # Queries come to each block of the other side; blocks grow in number with its bytes.
+    blocks = -(-size // BLOCK_BYTES)
+    left = queries.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1).cast("int"))))
+    right = others.withColumn("__block", F.pmod(F.xxhash64(*[F.col(c) for c in others.columns if c != vector]), F.lit(blocks)).cast("int"))
     return left.join(right, "__block").drop("__block")
 
 
@@ -33,8 +36,10 @@ def docs_of_shards(shards: DataFrame, chosen: DataFrame, vector: str) -> DataFra
     broadcast if their checked size allows, and otherwise meet the documents in parts of each shard."""
     if chosen.count() * max(1, dimension(chosen, vector)) * 8 <= BROADCAST_BYTES:
         return shards.join(F.broadcast(chosen), "shard_id")
-    left = shards.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int"))
-    right = chosen.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    # As many parts of each shard as there are tasks after a shuffle.
+    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = shards.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    right = chosen.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return left.join(right, ["shard_id", "__part"]).drop("__part")
 
 

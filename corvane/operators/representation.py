@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dimension, mean_vectors, normalized
 from ..runtime import reliable_checkpoint
-from .clustering import ITERATIONS, assign, grouped_lloyd, lloyd, lloyd_local, seeded_hash
+from .clustering import CENTRE_BYTES, ITERATIONS, assign, grouped_lloyd_all, lloyd, lloyd_local, seeded_hash
 from .sharding import size_summary
 
-#: Up to so many shards, groups are found on the driver; beyond it by Spark steps with the same result.
-LOCAL_SHARDS = 4096
-
 
 def single_centroids(shards: DataFrame, column: str = "embedding") -> DataFrame:
     """(shard_id, centroid): the normalised mean of each shard's vectors."""
@@ -22,7 +19,12 @@ def single_centroids(shards: DataFrame, column: str = "embedding") -> DataFrame:
 
 def multi_centroids(shards: DataFrame, k: int = 4, seed: int = 42, iterations: int = 3, column: str = "embedding") -> DataFrame:
     """(shard_id, centroid_id, centroid): at most k normalised k-means centres of each shard."""
-    return normalized(grouped_lloyd(shards, "shard_id", k, seed, iterations, column=column), "centroid")
+    return multi_centroids_all(shards, (k,), seed, iterations, column).drop("k")
+
+
+def multi_centroids_all(shards: DataFrame, ks: tuple[int, ...], seed: int = 42, iterations: int = 3, column: str = "embedding") -> DataFrame:
+    """(k, shard_id, centroid_id, centroid): multi_centroids for several k in the same passes over the documents."""
+    return normalized(grouped_lloyd_all(shards, "shard_id", ks, seed, iterations, column=column), "centroid")
 
 
 def shard_groups(centroids: DataFrame, num_groups: int = 4, seed: int = 42, iterations: int = ITERATIONS) -> DataFrame:
@@ -34,7 +36,8 @@ def shard_groups(centroids: DataFrame, num_groups: int = 4, seed: int = 42, iter
     found = centroids.count()
     if num_groups > found:
         raise ValueError(f"{num_groups} groups of {found} shards")
-    if found > LOCAL_SHARDS:
+    # Shards whose centroids fit on the driver are compared there, by the same steps and formula.
+    if found * max(1, dimension(centroids, "centroid")) * 8 > CENTRE_BYTES:
         return assign(centroids, lloyd(centroids, num_groups, seed, iterations, key="shard_id", column="centroid"), "group_id", "centroid").select("shard_id", "group_id")
     table = centroids.orderBy(seeded_hash(seed, "shard_id"), "shard_id").collect()
     near = lloyd_local(np.array([r.centroid for r in table]), num_groups, iterations)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def doc_text(corpus: DataFrame) -> DataFrame:
-    """(doc_id, text): title and text joined by a space, Unicode white space stripped from both ends."""
+def doc_text(corpus: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, kept columns, text): title and text joined by a space, Unicode white space stripped from both ends."""
     joined = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
-    return corpus.select("doc_id", F.regexp_replace(joined, r"(?U)^\s+|\s+$", "").alias("text"))
+    return corpus.select("doc_id", *keep, F.regexp_replace(joined, r"(?U)^\s+|\s+$", "").alias("text"))
 
 
 def query_texts(queries: DataFrame) -> DataFrame:

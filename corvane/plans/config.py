@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+import hashlib
+import json
+from dataclasses import asdict, dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -20,6 +22,12 @@ class AblationConfig:
     kmeans_iterations: int = 5
     multi_iterations: int = 3
 
+    def fingerprint(self) -> str:
+        """Names what decides the rows of one shard count and type, so that partial results of other settings are not
+        taken for them."""
+        decides = {k: v for k, v in asdict(self).items() if k not in ("num_shards", "shard_types")}
+        return hashlib.md5(json.dumps(decides, sort_keys=True).encode()).hexdigest()[:12]
+
 
 #: Accepted keys of each section; batch sizes tune the execution of other engines and change nothing here.
 _SECTIONS = {

@@ -15,6 +15,7 @@ from ..operators import ranking, representation
 from ..operators.metrics import evaluated_queries, positives, scoring_cost
 from ..operators.sharding import build_shards, doc_to_shard
 from ..runtime import reliable_checkpoint
+from ..sources.results import is_written, read_partial, write_partial
 from .config import AblationConfig
 
 ROW = ("dataset", "shard_type", "method", "num_shards", "num_groups", "num_selected_groups", "centroids_per_shard", "top_b", "mean_shard_recall", "mean_oracle_doc_coverage", "mean_selected_shard_count", "accessed_shard_ratio", "accessed_group_ratio", "centroid_scoring_cost", "num_queries", "seed")
@@ -101,9 +102,9 @@ def evaluate_shards(docs: DataFrame, queries: DataFrame, qrels: DataFrame, confi
     queries = queries.join(evaluated, "query_id", "left_semi").select("query_id", "embedding")
     single = reliable_checkpoint(representation.single_centroids(shards))
     sets = [single.select(F.lit(0).alias("k"), "shard_id", "centroid")]
-    for k in config.centroid_k_values:
-        many = representation.multi_centroids(shards, k, config.seed, config.multi_iterations)
-        sets.append(many.select(F.lit(k).alias("k"), "shard_id", "centroid"))
+    if config.centroid_k_values:
+        many = representation.multi_centroids_all(shards, tuple(config.centroid_k_values), config.seed, config.multi_iterations)
+        sets.append(many.select("k", "shard_id", "centroid"))
     centroids = reliable_checkpoint(reduce(DataFrame.unionByName, sets))
     scores = ranking.dot_scores(queries, centroids).groupBy("k", "query_id", "shard_id").agg(F.max("score").alias("score"))
     scores = reliable_checkpoint(scores)
@@ -162,9 +163,21 @@ def _group_metrics(chosen: DataFrame, relevance: DataFrame, evaluated: DataFrame
     return recall.groupBy("num_groups", "num_selected_groups").agg(F.avg("recall").alias("mean_group_recall"), F.avg((F.col("recall") == 0).cast("double")).alias("group_drop_error_rate"))
 
 
-def run_ablation(docs: DataFrame, queries: DataFrame, qrels: DataFrame, config: AblationConfig) -> DataFrame:
-    """The result rows of every shard count and type of the config."""
-    return reduce(DataFrame.unionByName, [evaluate_shards(docs, queries, qrels, config, t, n) for n in config.num_shards for t in config.shard_types])
+def run_ablation(docs: DataFrame, queries: DataFrame, qrels: DataFrame, config: AblationConfig, partial: str | None = None) -> DataFrame:
+    """The result rows of every shard count and type of the config.
+
+    With partial, each of them is written to a folder of its own below that path when it is done, and a run that
+    finds such a folder of the same settings does not compute it again."""
+    cells = [(n, t) for n in config.num_shards for t in config.shard_types]
+    if partial is None:
+        return reduce(DataFrame.unionByName, [evaluate_shards(docs, queries, qrels, config, t, n) for n, t in cells])
+    root = f"{partial}/{config.fingerprint()}"
+    for n, t in cells:
+        if not is_written(docs.sparkSession, root, n, t):
+            write_partial(evaluate_shards(docs, queries, qrels, config, t, n), root, n, t)
+    wanted = docs.sparkSession.createDataFrame(cells, "num_shards int, shard_type string")
+    rows = read_partial(docs.sparkSession, root).join(F.broadcast(wanted), ["num_shards", "shard_type"], "left_semi")
+    return rows.select(*ROW, *[c for c in rows.columns if c not in ROW])
 
 
 def skipped_queries(queries: DataFrame, relevance: DataFrame) -> DataFrame:

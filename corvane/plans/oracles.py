@@ -186,7 +186,7 @@ _BODIES: dict[str, str] = {
     "gather_doc_ids": f"select cast(ord as int) ord, doc_id, round(v[1], 6) first_value, round(v[{DIM}], 6) last_value from {REQUESTED} r join docs d on cast(r.pos as varchar) = d.doc_id",
     "embedding_shape": f"select count(*) as rows, cast(max(len(v)) as int) dim, count(doc_id) ids, count(*) - count(v) null_vectors, min(len(v)) = max(len(v)) constant_dim, count(*) filter (where len(v) <> {DIM}) wrong_dim from docs",
     "qrels_profile": f"select count(*) as rows, count(*) + 1 raw_lines, count(distinct query_id) queries, count(distinct {POSITIVE} query_id end) positive_queries, count({POSITIVE} 1 end) positive_rows, count(distinct {POSITIVE} doc_id end) positive_docs from raw_qrels",
-    "chunk_manifest": f"select pos // {CHUNK} chunk_idx, min(pos) as start, max(pos) + 1 as end, count(*) as rows, cast(max(len(v)) as int) dim from docs where pos < 450 group by 1",
+    "chunk_manifest": f"select pos // {CHUNK} chunk_idx, min(pos) as start, max(pos) + 1 as end, count(*) as rows, cast(max(len(v)) as int) dim from docs group by 1",
     "resume_pending_chunks": f"select pos // {CHUNK} chunk_idx, count(*) as rows from docs where pos // {CHUNK} not in (0, 2) group by 1",
     "chunk_check": f"select c.*, l.listed_rows, coalesce(l.listed_rows = c.rows, false) ok from (select pos // {CHUNK} chunk_idx, count(*) as rows, cast(0 as bigint) wrong_dim, cast(0 as bigint) not_finite, cast(0 as bigint) null_ids from docs group by 1) c left join (select pos // {CHUNK} chunk_idx, count(*) listed_rows from docs where pos // {CHUNK} <> 1 group by 1) l on c.chunk_idx = l.chunk_idx",
     "doc_text": r"select doc_id, regexp_replace(coalesce(title, '') || ' ' || coalesce(text, ''), '^\s+|\s+$', '', 'g') as text from corpus",

@@ -59,7 +59,7 @@ class Run:
 
     @cached_property
     def multi(self) -> DataFrame:
-        return representation.multi_centroids(self.shards, MULTI_K, SEED, MULTI_STEPS)
+        return reliable_checkpoint(representation.multi_centroids(self.shards, MULTI_K, SEED, MULTI_STEPS))
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -125,7 +125,7 @@ def qrels_profile(spark, sf_dir):
 
 @query
 def chunk_manifest(spark, sf_dir):
-    return store.chunk_manifest(store.with_chunks(fx.doc_embeddings(spark, sf_dir), CHUNK, max_docs=450))
+    return store.chunk_manifest(store.with_chunks(fx.doc_embeddings(spark, sf_dir), CHUNK))
 
 
 @query

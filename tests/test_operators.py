@@ -96,14 +96,39 @@ def test_lloyd_separates_clusters_and_ignores_layout(spark):
         pytest.fail("clusters cross the gap")
 
 
-def test_wide_centres_give_the_same_clusters(spark, monkeypatch):
+def test_nearest_centres_are_those_by_distance():
+    """Whatever the size of a block, near ties and equal centres included."""
     draw = np.random.default_rng(6)
-    df = docs_of(spark, draw.normal(size=(80, 6)).tolist() + [[0.0] * 6]).union(spark.createDataFrame([("none", 99, None)], DOCS))
-    narrow = clustering.assign(df, clustering.lloyd(df, 5))
-    monkeypatch.setattr(clustering, "WIDE", 1)
-    wide = clustering.assign(df, clustering.lloyd(df, 5))
-    assert {r.doc_id: r.cluster for r in narrow.collect()} == {r.doc_id: r.cluster for r in wide.collect()}
-    assert wide.where("doc_id = 'none'").first().cluster is None
+    centres = draw.normal(size=(7, 5)) + 1e6
+    centres[4] = centres[2]
+    x = np.concatenate([draw.normal(size=(200, 5)) + 1e6, centres, (centres[:1] + centres[1:2]) / 2])
+    expected = [int(((v - centres) ** 2).sum(axis=1).argmin()) for v in x]
+    for block in (1, 70, 1 << 20):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(clustering, "BLOCK", block)
+            assert clustering.nearest_index(x, centres).tolist() == expected
+
+
+def test_clusters_equal_plain_steps(spark):
+    draw = np.random.default_rng(7)
+    vectors = draw.normal(size=(90, 6))
+    df = docs_of(spark, vectors.tolist()).union(spark.createDataFrame([("none", 99, None)], DOCS))
+    found = clustering.assign(df, clustering.lloyd(df, 5))
+    seeded = [int(r.doc_id) for r in df.where("embedding is not null").orderBy(clustering.seeded_hash(42, "doc_id")).collect()]
+    local = clustering.lloyd_local(vectors[seeded], 5)
+    assert {r.doc_id: r.cluster for r in found.collect()} == {**{str(i): int(c) for i, c in zip(seeded, local)}, "none": None}
+
+
+def test_grouped_steps_for_several_k(spark, monkeypatch):
+    """All k in one go, each k alone, and by joins where centres are too large to hold."""
+    draw = np.random.default_rng(8)
+    df = docs_of(spark, draw.normal(size=(60, 4)).tolist()).withColumn("shard_id", F.concat(F.lit("s"), F.col("pos") % 3))
+    flat = lambda found: {(r.k, r.shard_id, r.centroid_id): [round(x, 9) for x in r.centroid] for r in found.collect()}
+    every = flat(clustering.grouped_lloyd_all(df, "shard_id", (2, 5)))
+    alone = {k: v for n in (2, 5) for k, v in flat(clustering.grouped_lloyd(df, "shard_id", n).withColumn("k", F.lit(n))).items()}
+    assert every == alone and {(k, g) for k, g, _ in every} == {(k, f"s{i}") for k in (2, 5) for i in range(3)}
+    monkeypatch.setattr(clustering, "CENTRE_BYTES", 0)
+    assert flat(clustering.grouped_lloyd_all(df, "shard_id", (2, 5))) == every
 
 
 def test_mllib_gives_every_row_its_nearest_centre(spark):
@@ -122,7 +147,7 @@ def test_groups(spark, monkeypatch):
     draw = np.random.default_rng(4)
     many = spark.createDataFrame([(i, draw.normal(size=5).tolist()) for i in range(60)], "shard_id bigint, centroid array<double>")
     local = rows(representation.shard_groups(many, 6), "shard_id", "group_id")
-    monkeypatch.setattr(representation, "LOCAL_SHARDS", 0)
+    monkeypatch.setattr(representation, "CENTRE_BYTES", 0)
     assert rows(representation.shard_groups(many, 6), "shard_id", "group_id") == local
     one = spark.createDataFrame([(i, 0) for i in range(4)], "shard_id bigint, group_id bigint")
     assert representation.group_centroids(cents, one).first().centroid == pytest.approx([math.sqrt(0.5)] * 2)
@@ -258,7 +283,7 @@ def test_quality(spark):
     assert (good.finite, good.norms_ok, good.checked) == (True, True, 2)
     assert quality.norm_summary(df.limit(0), "d").first().finite is False
     assert quality.norm_summary(df, "d", sample=1).first().checked == 1
-    assert quality.human_bytes(2048) == "2.00 KB"
+    assert [quality.byte_label(n) for n in (0, 1023, 2048, 3 << 40, 5000 << 40)] == ["0.00 B", "1023.00 B", "2.00 KB", "3.00 TB", "5000.00 TB"]
 
 
 def test_meta_results(spark, tmp_path):
