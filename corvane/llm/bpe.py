@@ -178,13 +178,12 @@ def _text_blocks(docs: DataFrame, definition: str, id_col: str, text_col: str) -
                 words = split(text.as_py())
                 counts.append(len(words))
                 codes.extend(map(number.__getitem__, words))
-            docs_ = pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([docs_, pa.array([counts.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([list(number)], pa.list_(pa.string()))], names=["docs", "counts", "codes", "keys"])
+            yield pa.RecordBatch.from_arrays([_packed(batch.column(0)), pa.array([counts.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([list(number)], pa.list_(pa.string()))], names=["docs", "counts", "codes", "keys"])
             pa.default_memory_pool().release_unused()
 
     bound_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("bigint"), text_or_empty(text_col))
-    return narrow.mapInArrow(run, "docs array<bigint>, counts binary, codes binary, keys array<string>")
+    return narrow.mapInArrow(run, "docs binary, counts binary, codes binary, keys array<string>")
 
 
 def _id_blocks(coded: DataFrame, id_col: str) -> DataFrame:
@@ -195,18 +194,29 @@ def _id_blocks(coded: DataFrame, id_col: str) -> DataFrame:
         for batch in batches:
             lists = [None if x is None else np.asarray(x, np.int32) for x in map(_value, batch.column(1))]
             counts = np.array([-1 if x is None else len(x) for x in lists], np.int32)
-            yield _id_block(batch.column(0).to_pylist(), counts, np.concatenate([np.zeros(0, np.int32), *(x for x in lists if x is not None)]))
+            yield _id_block(_packed(batch.column(0)), counts, np.concatenate([np.zeros(0, np.int32), *(x for x in lists if x is not None)]))
 
     bound_batches(coded.sparkSession)
     return coded.select(F.col(id_col).cast("bigint"), "ids").mapInArrow(run, _ID_BLOCK)
 
 
-_ID_BLOCK = "docs array<bigint>, counts binary, codes binary, keys array<int>"
+_ID_BLOCK = "docs binary, counts binary, codes binary, keys array<int>"
 
 
-def _id_block(docs: list, counts: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+def _packed(ids: pa.Array) -> pa.Array:
+    """Ids and which of them there are as one binary value: rows with lists are measured slowly on their way to Python."""
+    there = ids.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array([ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + there.tobytes()], pa.binary())
+
+
+def _unpacked(data: bytes) -> pa.Array:
+    n = len(data) // 9
+    return pa.array(np.frombuffer(data, np.int64, n), pa.int64(), mask=~np.frombuffer(data, bool, n, 8 * n))
+
+
+def _id_block(docs: pa.Array, counts: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
     keys = _distinct(tokens)
-    return pa.RecordBatch.from_arrays([pa.array([docs], pa.list_(pa.int64())), pa.array([counts.tobytes()], pa.binary()), pa.array([tokens.tobytes()], pa.binary()), pa.array([keys], pa.list_(pa.int32()))], names=["docs", "counts", "codes", "keys"])
+    return pa.RecordBatch.from_arrays([docs, pa.array([counts.tobytes()], pa.binary()), pa.array([tokens.tobytes()], pa.binary()), pa.array([keys], pa.list_(pa.int32()))], names=["docs", "counts", "codes", "keys"])
 
 
 def _distinct(tokens: np.ndarray) -> np.ndarray:
@@ -311,7 +321,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     def finish(own: dict, sizes: np.ndarray, data: bytes) -> Iterator[pa.RecordBatch]:
         tokens, counts = _tokens(own, sizes, data)
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(tokens, pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(own["docs"], pa.int64()), lists], names=[id_col, "ids"])
+        yield pa.RecordBatch.from_arrays([_unpacked(own["docs"]), lists], names=[id_col, "ids"])
 
     rows = _encoded_blocks(docs, definition, id_col, text_col, most)
     return assemble(rows, f"{id_col} bigint, ids array<int>", finish, lambda word: _coder(definition).word(word))
@@ -323,7 +333,7 @@ def piece_table(spark: SparkSession, definition: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"piece_id": pa.array(pieces, pa.int32()), "piece": pa.array(pieces.values(), pa.binary())}))
 
 
-def _decoded(blocks: DataFrame, definition: str, schema: str, columns: Callable[[list, np.ndarray, np.ndarray, list], list[pa.Array]]) -> DataFrame:
+def _decoded(blocks: DataFrame, definition: str, schema: str, columns: Callable[[pa.Array, np.ndarray, np.ndarray, list], list[pa.Array]]) -> DataFrame:
     """The texts of blocks of ids; columns makes what is returned of document ids, tokens, numbers of tokens and texts."""
     names = schema_names(schema)
 
@@ -332,7 +342,7 @@ def _decoded(blocks: DataFrame, definition: str, schema: str, columns: Callable[
         many, at = np.maximum(counts, 0), 0
         codes = _numbers(tokens, _distinct(tokens))
         source, starts = np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes
-        ends, docs = np.cumsum(many), own["docs"]
+        ends, docs = np.cumsum(many), _unpacked(own["docs"])
         # Some texts at a time, so that their bytes' places take bounded memory.
         while at < len(many):
             first = int(ends[at] - many[at])
@@ -351,7 +361,7 @@ def _decoded(blocks: DataFrame, definition: str, schema: str, columns: Callable[
 
 def decode_documents(coded: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """(id, text) for each row of (id, ids array<int>): the text of its ids; null ids have a null text."""
-    columns = lambda docs, tokens, counts, texts: [pa.array(docs, pa.int64()), pa.array(texts, pa.string())]
+    columns = lambda docs, tokens, counts, texts: [docs, pa.array(texts, pa.string())]
     return _decoded(_id_blocks(coded, id_col), _definition(path), f"{id_col} bigint, text string", columns)
 
 
@@ -362,13 +372,13 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
     def to_ids(own: dict, sizes: np.ndarray, data: bytes) -> Iterator[pa.RecordBatch]:
         tokens, counts = _tokens(own, sizes, data)
-        yield _id_block(own["docs"], counts, tokens)
+        yield _id_block(pa.array([own["docs"]], pa.binary()), counts, tokens)
 
-    def columns(docs: list, tokens: np.ndarray, counts: np.ndarray, texts: list) -> list[pa.Array]:
+    def columns(docs: pa.Array, tokens: np.ndarray, counts: np.ndarray, texts: list) -> list[pa.Array]:
         borders = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         digest = lambda data: hashlib.sha256(data).hexdigest()
         ids = [digest(tokens[a:b].tobytes()) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
-        return [pa.array(docs, pa.int64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(borders, pa.array(tokens, pa.int32())), pa.array(ids, pa.string()), pa.array([digest(t.encode()) for t in texts], pa.string())]
+        return [docs, pa.array(counts, pa.int64()), pa.ListArray.from_arrays(borders, pa.array(tokens, pa.int32())), pa.array(ids, pa.string()), pa.array([digest(t.encode()) for t in texts], pa.string())]
 
     blocks = assemble(_encoded_blocks(docs, definition, id_col, text_col, most), _ID_BLOCK, to_ids, lambda word: _coder(definition).word(word))
     return _decoded(blocks, definition, f"{id_col} bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string", columns)
