@@ -36,8 +36,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): ids as little-endian unsigned 32-bit integers in
-    one binary value, and the digests of them and of the text that they decode to."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): ids as array<int>, and the digests of them (as
+    little-endian unsigned 32-bit integers) and of the text that they decode to."""
     return bpe.digests(docs)
 
 
