@@ -182,55 +182,63 @@ def _training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFr
     return rows.orderBy(F.xxhash64("id", "text"), "id").limit(max_train).withColumn("fold", F.pmod(F.xxhash64(F.col("id") + 1), F.lit(FOLDS)).cast("int"))
 
 
+def _places() -> list[str]:
+    """Names of a term's counts: of each fold its rows and its positive rows of each category."""
+    return [f"{c}_{f}" for f in range(FOLDS) for c in ("n", *[f"pos{i}" for i in range(len(CATEGORIES))])]
+
+
 def _term_counts(rows: DataFrame) -> DataFrame:
-    """(term, fold, n, pos...): in how many rows, and in how many positive ones of each category, a term occurs."""
-    k = len(CATEGORIES)
+    """(term, n_<fold>, pos<category>_<fold>, ...): in how many rows, and in how many positive ones, a term occurs; without
+    terms in fewer than MIN_DOCS rows, which are most of all."""
+    width = len(CATEGORIES) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int], list[int]] = {}
+        counts: dict[str, list[int]] = {}
 
         def out():
             items = list(counts.items())
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([t for (t, _), _ in items], pa.string()), pa.array([f for (_, f), _ in items], pa.int32()), *[pa.array([c[i] for _, c in items], pa.int64()) for i in range(k + 1)]], names=["term", "fold", "n", *[f"pos{i}" for i in range(k)]])
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in items], pa.string()), *[pa.array([c[i] for _, c in items], pa.int64()) for i in range(width * FOLDS)]], names=["term", *_places()])
 
         for batch in batches:
             for text, y, fold in zip(*(c.to_pylist() for c in batch.columns)):
                 for term in set().union(*map(terms_of, set(_WORDS.findall(text.lower())))):
-                    c = counts.setdefault((term, fold), [0] * (k + 1))
-                    c[0] += 1
+                    c = counts.setdefault(term, [0] * (width * FOLDS))
+                    c[fold * width] += 1
                     for i, v in enumerate(y):
-                        c[i + 1] += v
+                        c[fold * width + i + 1] += v
                 if len(counts) > MAX_WORDS:
                     yield out()
         yield out()
 
-    sums = ["n", *[f"pos{i}" for i in range(k)]]
-    counted = rows.select("text", "y", "fold").mapInArrow(run, "term string, fold int, " + ", ".join(f"{c} bigint" for c in sums))
-    return counted.groupBy("term", "fold").agg(*[F.sum(c).alias(c) for c in sums])
+    counted = rows.select("text", "y", "fold").mapInArrow(run, "term string, " + ", ".join(f"{c} bigint" for c in _places()))
+    counted = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in _places()])
+    return counted.where(sum((F.col(f"n_{f}") for f in range(FOLDS)), F.lit(0)) >= MIN_DOCS)
 
 
-def _select_terms(counts: DataFrame, totals: list[dict], held: int | None) -> list[str]:
-    """Terms with the highest z-scores of any category in the rows outside the held fold. totals: n and pos... by fold."""
-    total = {c: sum(t[c] for t in totals if t["fold"] != held) for c in ("n", *[f"pos{i}" for i in range(len(CATEGORIES))])}
-    rows = total["n"]
-    sums = counts.where(F.lit(True) if held is None else F.col("fold") != held).groupBy("term").agg(*[F.sum(c).alias(c) for c in total])
-    score = F.lit(0.0)
+def _select_terms(counts: DataFrame, totals: dict[str, int], held: int | None) -> list[str]:
+    """Terms with the highest z-scores of any category in the rows outside the held fold. totals: all rows' counts, named
+    like those of terms."""
+    folds = [f for f in range(FOLDS) if f != held]
+    of = lambda c: sum((F.col(f"{c}_{f}") for f in folds), F.lit(0))
+    total = lambda c: sum(totals[f"{c}_{f}"] for f in folds)
+    rows, n, score = total("n"), of("n"), F.lit(0.0)
     for i in range(len(CATEGORIES)):
-        of = total[f"pos{i}"]
-        if 0 < of < rows:
-            pos, neg = F.col(f"pos{i}"), F.col("n") - F.col(f"pos{i}")
-            mean = F.col("n") / rows
-            z = (pos / of - neg / (rows - of)) / F.sqrt(mean * (1 - mean) * (1 / of + 1 / (rows - of)) + 1e-12)
+        positive = total(f"pos{i}")
+        if 0 < positive < rows:
+            pos = of(f"pos{i}")
+            mean = n / rows
+            z = (pos / positive - (n - pos) / (rows - positive)) / F.sqrt(mean * (1 - mean) * (1 / positive + 1 / (rows - positive)) + 1e-12)
             score = F.greatest(score, z)
-    best = sums.where(F.col("n") >= MIN_DOCS).select("term", score.alias("z")).where(F.col("z") >= MIN_Z)
+    best = counts.where(n >= MIN_DOCS).select("term", score.alias("z")).where(F.col("z") >= MIN_Z)
     return [r.term for r in best.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()]
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain:
     bound_batches(docs.sparkSession)
     rows = reliable_checkpoint(_training_rows(docs, labels, max_train))
-    totals = [r.asDict() for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.get("y", i)).alias(f"pos{i}") for i in range(len(CATEGORIES))]).collect()]
+    by_fold = {r.fold: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.get("y", i)).alias(f"pos{i}") for i in range(len(CATEGORIES))]).collect()}
+    totals = {c: by_fold[int(f)][name] if int(f) in by_fold else 0 for c in _places() for name, f in [c.rsplit("_", 1)]}
     counts = reliable_checkpoint(_term_counts(rows))
     chosen = [_select_terms(counts, totals, f) for f in (*range(FOLDS), None)]
     # The final models' terms come first; the others are only needed by the folds' models.

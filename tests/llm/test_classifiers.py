@@ -89,12 +89,19 @@ def test_training_rows_are_bounded(spark):
 
 
 def test_terms_of_a_fold_are_selected_without_it(spark):
-    counts = spark.createDataFrame([("held", 0, 50, 0, 50), ("held", 1, 50, 0, 0), ("held", 2, 50, 0, 0), ("both", 0, 30, 0, 30), ("both", 1, 30, 0, 30), ("both", 2, 30, 0, 30)], "term string, fold int, n bigint, pos0 bigint, pos1 bigint")
-    totals = [{"fold": f, "n": 200, "pos0": 0, "pos1": 60} for f in range(3)]
+    names = toxicity._places()
+    counts = spark.createDataFrame([("held", 50, 0, 50, 50, 0, 0, 50, 0, 0), ("both", 30, 0, 30, 30, 0, 30, 30, 0, 30)], "term string, " + ", ".join(f"{c} bigint" for c in names))
+    totals = dict(zip(names, [200, 0, 60] * 3))
     assert set(toxicity._select_terms(counts, totals, 1)) == {"held", "both"}
     assert toxicity._select_terms(counts, totals, 0) == ["both"]
 
 
+def test_term_counts(spark):
+    rows = [(f"alpha beta {i % 2}", [i % 2, 1], i % 3) for i in range(12)]
+    found = {r.term: r.asDict() for r in toxicity._term_counts(spark.createDataFrame(rows, "text string, y array<int>, fold int").repartition(3)).collect()}
+    assert found["^alpha$"] == {"term": "^alpha$"} | {f"{c}_{f}": n for f in range(3) for c, n in (("n", 4), ("pos0", 2), ("pos1", 4))}
+
+
 def brute_probabilities(chain, text):
     """The chain, model by model, from terms counted one by one."""
     words = toxicity._WORDS.findall(text.lower())
