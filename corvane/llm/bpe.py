@@ -256,11 +256,12 @@ def _joined(blocks: DataFrame, table: DataFrame, key: str, value: str) -> DataFr
     return rows.select(pos.alias("pos"), F.when(F.col(value).isNull(), F.col("k")).alias("rest"), F.col(value).alias("value"), *first)
 
 
-def assemble(rows: DataFrame, schema: str, finish: Callable[[dict, np.ndarray, bytes], Iterator[pa.RecordBatch]], rest: Callable[[object], bytes]) -> DataFrame:
+def assemble(rows: DataFrame, schema: str, finish: Callable[[dict, np.ndarray, bytes], Iterator[pa.RecordBatch]], rest: Callable[[], Callable[[object], bytes]]) -> DataFrame:
     """What finish makes of each block of _joined, whose rows follow each other by pos from 0: its own columns, the sizes of its
-    keys' values and the values. rest gives the value of a key that has none."""
+    keys' values and the values. rest makes, once in a task, the function that gives the value of a key that has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fill = rest()
         now, last = None, -2  # the block's own columns, sizes and values so far; the last position
 
         def done():
@@ -280,7 +281,7 @@ def assemble(rows: DataFrame, schema: str, finish: Callable[[dict, np.ndarray, b
                 keys, filled = batch.column("rest"), value.to_pylist()
                 for i in np.flatnonzero(value.is_null().to_numpy(zero_copy_only=False)).tolist():
                     key = keys[i].as_py()
-                    filled[i] = b"" if key is None else rest(key)
+                    filled[i] = b"" if key is None else fill(key)
                 value = pa.array(filled, pa.binary())
             offsets = np.frombuffer(value.buffers()[1], np.int32)[value.offset : value.offset + len(value) + 1]
             data = memoryview(value.buffers()[2] or b"")
@@ -324,7 +325,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
         yield pa.RecordBatch.from_arrays([_unpacked(own["docs"]), lists], names=[id_col, "ids"])
 
     rows = _encoded_blocks(docs, definition, id_col, text_col, most)
-    return assemble(rows, f"{id_col} bigint, ids array<int>", finish, lambda word: _coder(definition).word(word))
+    return assemble(rows, f"{id_col} bigint, ids array<int>", finish, lambda: _coder(definition).word)
 
 
 def piece_table(spark: SparkSession, definition: str) -> DataFrame:
@@ -356,7 +357,7 @@ def _decoded(blocks: DataFrame, definition: str, schema: str, columns: Callable[
             at = to
 
     rows = _joined(blocks, piece_table(blocks.sparkSession, definition), "piece_id", "piece")
-    return assemble(rows, schema, finish, lambda _: b"")
+    return assemble(rows, schema, finish, lambda: lambda _: b"")
 
 
 def decode_documents(coded: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -380,5 +381,5 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         ids = [digest(tokens[a:b].tobytes()) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
         return [docs, pa.array(counts, pa.int64()), pa.ListArray.from_arrays(borders, pa.array(tokens, pa.int32())), pa.array(ids, pa.string()), pa.array([digest(t.encode()) for t in texts], pa.string())]
 
-    blocks = assemble(_encoded_blocks(docs, definition, id_col, text_col, most), _ID_BLOCK, to_ids, lambda word: _coder(definition).word(word))
+    blocks = assemble(_encoded_blocks(docs, definition, id_col, text_col, most), _ID_BLOCK, to_ids, lambda: _coder(definition).word)
     return _decoded(blocks, definition, f"{id_col} bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string", columns)

@@ -80,7 +80,7 @@ def test_table_of_distinct_words(few, small_blocks):
 def test_rows_out_of_order_are_refused(spark):
     rows = spark.createDataFrame([(0, None, b"a", b"", b"", b""), (2, None, b"b", None, None, None)], "pos int, rest string, value binary, docs binary, counts binary, codes binary").coalesce(1)
     with pytest.raises(Exception, match="do not follow"):
-        bpe.assemble(rows, "n int", lambda own, sizes, data: iter(()), lambda key: b"").collect()
+        bpe.assemble(rows, "n int", lambda own, sizes, data: iter(()), lambda: lambda key: b"").collect()
 
 
 @settings(max_examples=60, deadline=None)
