@@ -173,9 +173,10 @@ def plan_mix(rows: DataFrame, params: MixParams = MixParams()) -> tuple[DataFram
 
 
 def _nearest(rows: DataFrame, taken: bool) -> DataFrame:
-    """The NEAR rows of each source next to the cut on one side, by size; each task keeps as many before they are shuffled."""
+    """The NEAR rows of each source next to the cut on one side, by size; each task keeps as many before they are shuffled (the
+    constant bound lets it)."""
     order = (F.desc("q"), F.desc("id")) if taken else (F.asc("q"), F.asc("id"))
-    first = rows.withColumn("number", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where(F.col("number") <= F.greatest(F.lit(2), F.least(F.lit(NEAR), F.ceil(F.col("wanted") / NEAR_SHARE))))
+    first = rows.withColumn("number", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where((F.col("number") <= NEAR) & (F.col("number") <= F.greatest(F.lit(2), F.ceil(F.col("wanted") / NEAR_SHARE))))
     listed = F.array_sort(F.collect_list(F.struct("size", "q", "id")))
     return first.groupBy("source").agg(listed.alias("inside"), F.first("missing").alias("missing")) if taken else first.groupBy("source").agg(listed.alias("outside"))
 
