@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import reliable_checkpoint
+from ..runtime import default_size, reliable_checkpoint
 from .common import bound_batches, map_rows, text_bytes
 
 SEED = 42
@@ -64,6 +64,9 @@ MAX_COMMON = 500_000
 LIST_PART = 2_000
 #: Sides of joins are broadcast up to so many bytes; beyond it both sides are shuffled.
 BROADCAST_BYTES = 48 << 20
+#: What a row of a broadcast side takes in the driver's memory, as measured: with a long key, and with a text's digest.
+KEY_ROW = 88
+DIGEST_ROW = 176
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -214,7 +217,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: (a, b). Large-star steps hang each node's larger neighbours on the smallest node it sees,
     small-star steps its smaller ones; they end when neither changes the edge set."""
-    edges = reliable_checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = default_size(reliable_checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()))
     sign = None
     for _ in range(MAX_ROUNDS):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -225,7 +228,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = reliable_checkpoint(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"))
         joined = large.join(least, F.col("a") == F.col("n"))
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
-        edges = reliable_checkpoint(small.distinct())
+        edges = default_size(reliable_checkpoint(small.distinct()))
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == sign:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -328,7 +331,7 @@ def shared_postings(nodes: DataFrame) -> DataFrame:
     posted = nodes.select("node", "n", F.explode("prefix").alias("key"))
     keys = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("key_"))
     keys = reliable_checkpoint(keys)
-    return reliable_checkpoint(posted.join(_meeting(keys, 16), F.col("key") == F.col("key_"), "left_semi").select("key", "node", "n"))
+    return reliable_checkpoint(posted.join(_meeting(keys, KEY_ROW), F.col("key") == F.col("key_"), "left_semi").select("key", "node", "n"))
 
 
 def _likely(met: DataFrame, similarity: float) -> DataFrame:
@@ -382,7 +385,7 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, text_col: str,
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
     wanted = reliable_checkpoint(names.join(wanted, F.col("node") == F.col("w"), "left_semi").select("node", F.col("h").alias("h_")))
     texts = docs.select(text_digest(text_col).alias("h"), text_bytes(text_col).alias("t"))
-    texts = texts.join(_meeting(wanted, 48), F.col("h") == F.col("h_")).groupBy("node").agg(F.first("t").alias("t"))
+    texts = texts.join(_meeting(wanted, DIGEST_ROW), F.col("h") == F.col("h_")).groupBy("node").agg(F.first("t").alias("t"))
     side = lambda name, t: texts.select(F.col("node").alias(name + "_"), F.col("t").alias(t))
     # The larger node comes first: it is in few pairs, while the smaller one may be the pivot of many.
     both = pairs.join(side("b", "y"), F.col("b") == F.col("b_")).join(side("a", "x"), F.col("a") == F.col("a_")).select("a", "b", "x", "y")
@@ -443,7 +446,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     facts = reliable_checkpoint(facts.where("goes or c > 1").drop("c"))
     # The document travels as one value, so that none of its columns can be taken for one of these.
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"), text_digest(text_col).alias("h"))
-    kept = own.join(_meeting(facts, 56), F.col("h") == F.col("h_"), "left").where(F.col("h_").isNull() | (~F.col("goes") & F.col("id").eqNullSafe(F.col("stays"))))
+    kept = own.join(_meeting(facts, DIGEST_ROW), F.col("h") == F.col("h_"), "left").where(F.col("h_").isNull() | (~F.col("goes") & F.col("id").eqNullSafe(F.col("stays"))))
     again = F.coalesce("again", F.lit(False))
     out = kept.where(~again).select("row")
     if not facts.where("again and not goes").isEmpty():

@@ -89,6 +89,34 @@ def test_components_of_a_chain(spark):
     assert simhash.components(edges.limit(0)).count() == 0
 
 
+def test_size_estimates_do_not_grow_with_rounds(spark, monkeypatch):
+    """Joins multiply the estimates of what the rounds before made, and the driver holds these numbers."""
+    real, bits = simhash.reliable_checkpoint, []
+
+    def noted(df, eager=True):
+        out = real(df, eager)
+        bits.append(out._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length())
+        return out
+
+    monkeypatch.setattr(simhash, "reliable_checkpoint", noted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    assert {r.root for r in simhash.components(edges).collect()} == {0}
+    assert len(bits) > 20 and max(bits) < 1000
+
+
+def test_broadcast_sides_count_what_they_take(spark, monkeypatch):
+    """40,000 keys make a broadcast relation of more than 2 MB: beyond that bound both sides are shuffled, with the same rows."""
+    nodes = spark.range(80_000).selectExpr("id as node", "1 as n", "array(id div 2) as prefix")
+    monkeypatch.setattr(simhash, "reliable_checkpoint", lambda df: df)
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: df.orderBy("node").collect()
+    near = simhash.shared_postings(nodes)
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", 2 << 20)
+    far = simhash.shared_postings(nodes)
+    assert hinted(near) and not hinted(far)
+    assert rows(near) == rows(far) and far.count() == 80_000
+
+
 def test_odd_rows(odd, empty, clashing):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
