@@ -64,7 +64,7 @@ MAX_COMMON = 500_000
 LIST_PART = 2_000
 #: Sides of joins are broadcast up to so many bytes; beyond it both sides are shuffled.
 BROADCAST_BYTES = 48 << 20
-#: What a row of a broadcast side takes in the driver's memory, as measured: with a long key, and with a text's digest.
+#: Bytes that a row of a broadcast side takes: with a long key (72 and 84 were measured), with a text's digest (171 and 176).
 KEY_ROW = 88
 DIGEST_ROW = 176
 
